@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.plans import changes
+from siftwork.plans import changes, sources
 
-_MODULES = (changes,)
+_MODULES = (changes, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
