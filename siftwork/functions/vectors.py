@@ -73,30 +73,45 @@ def register_metric(name: str, metric: Metric) -> None:
     METRICS[name] = metric
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not once for each element of an array that ``use`` goes through."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _doubles(a: Column) -> Column:
+    return F.transform(a, lambda x: x.cast("double"))
+
+
+def _scaled(a: Column, n: Column) -> Column:
+    return _with(n, lambda m: F.when(m > 0, F.transform(a, lambda x: x.cast("double") / m)).otherwise(_doubles(a)))
+
+
 def l2_normalize(a: Column) -> Column:
     """Divided by the Euclidean norm, if that is above 0."""
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return _scaled(a, norm(a))
 
 
 def l1_normalize(a: Column) -> Column:
-    n = _fold(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return _scaled(a, _fold(F.transform(a, lambda x: F.abs(x.cast("double")))))
 
 
 def minmax_normalize(a: Column) -> Column:
     """Stretched to [0, 1]; unchanged if all numbers are equal."""
-    low, high = F.array_min(a).cast("double"), F.array_max(a).cast("double")
-    return F.when(high > low, F.transform(a, lambda x: (x.cast("double") - low) / (high - low))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    ends = F.struct(F.array_min(a).cast("double").alias("low"), F.array_max(a).cast("double").alias("high"))
+    return _with(ends, lambda e: F.when(e["high"] > e["low"], F.transform(a, lambda x: (x.cast("double") - e["low"]) / (e["high"] - e["low"]))).otherwise(_doubles(a)))
 
 
 def zscore_normalize(a: Column) -> Column:
     """Mean 0 and population variance 1; unchanged if all numbers are equal."""
-    mean = _fold(a) / F.size(a)
-    sd = F.sqrt(_fold(F.transform(a, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean))) / F.size(a))
-    return F.when(sd > 0, F.transform(a, lambda x: (x.cast("double") - mean) / sd)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+    def around(m: Column) -> Column:
+        sd = F.sqrt(_fold(F.transform(a, lambda x: (x.cast("double") - m) * (x.cast("double") - m))) / F.size(a))
+        return _with(sd, lambda d: F.when(d > 0, F.transform(a, lambda x: (x.cast("double") - m) / d)).otherwise(_doubles(a)))
+
+    return _with(_fold(a) / F.size(a), around)
 
 
 def int8_quantize(a: Column) -> Column:
     """``scale`` and ``codes`` of an 8-bit scalar quantisation: number = code * scale."""
     scale = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double")))) / 127.0
-    return F.struct(scale.alias("scale"), F.transform(a, lambda x: F.when(scale > 0, F.round(x.cast("double") / scale)).otherwise(0).cast("tinyint")).alias("codes"))
+    return _with(scale, lambda s: F.struct(s.alias("scale"), F.transform(a, lambda x: F.when(s > 0, F.round(x.cast("double") / s)).otherwise(0).cast("tinyint")).alias("codes")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.plans import changes, sources
+from siftwork.plans import changes, sources, vectors
 
-_MODULES = (changes, sources)
+_MODULES = (changes, sources, vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
