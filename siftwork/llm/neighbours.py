@@ -112,16 +112,17 @@ def usable(embedding: Column, dim: int) -> Column:
     return F.coalesce((F.size(embedding) == dim) & finite & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
-def current_entries(df: DataFrame, dim: int) -> DataFrame:
-    """Of each id the row of greatest ``updated_at`` (a null comes first; of equals the greatest vector hash), if its embedding is usable: ``id, class_a, class_b, embedding``.
+def current_entries(df: DataFrame, dim: int, vectors: bool = True) -> DataFrame:
+    """Of each id the row of greatest ``updated_at`` (a null comes first; of equals the greatest vector hash), if its embedding is usable: ``id, class_a, class_b`` and, with ``vectors``, ``embedding``.
 
     An id whose current embedding is unusable has no row, even if an older one was usable. Null ids name no entry.
     """
     ok = usable(F.col("embedding"), dim)
     e = F.when(ok, F.col("embedding"))
-    rows = df.where("id IS NOT NULL").select("id", "updated_at", e.alias("embedding"), F.xxhash64(e).alias("class_a"), F.xxhash64(F.lit(1), e).alias("class_b"))
-    top = F.max_by(F.struct("embedding", "class_a", "class_b"), F.struct("updated_at", "class_a", "class_b"))
-    return rows.groupBy("id").agg(top.alias("top")).select("id", "top.class_a", "top.class_b", "top.embedding").where("embedding IS NOT NULL")
+    rows = df.where("id IS NOT NULL").select("id", "updated_at", ok.alias("ok"), F.xxhash64(e).alias("class_a"), F.xxhash64(F.lit(1), e).alias("class_b"), *[e.alias("embedding")] * vectors)
+    kept = ["ok", "class_a", "class_b", *["embedding"] * vectors]
+    top = F.max_by(F.struct(*kept), F.struct("updated_at", "class_a", "class_b"))
+    return rows.groupBy("id").agg(top.alias("top")).where("top.ok").select("id", *[f"top.{c}" for c in kept[1:]])
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -204,7 +205,7 @@ def neighbours(df: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: int = 6
         return df.sparkSession.createDataFrame([], out)
     entries = current_entries(df, dim)
     classes = keep(class_neighbours(entries, graph, dim, k, min_cosine, lists, ratio), "neighbours")
-    members = entries.select("id", "class_a", "class_b")
+    members = current_entries(df, dim, vectors=False)
     place = F.row_number().over(Window.partitionBy("class_a", "class_b").orderBy("id"))
     targets = members.withColumn("__n", place).where(F.col("__n") <= k + 1).drop("__n").select(F.col("class_a").alias("b_a"), F.col("class_b").alias("b_b"), F.col("id").alias("neighbour"))
     same = members.join(targets, (F.col("class_a") == F.col("b_a")) & (F.col("class_b") == F.col("b_b"))).where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
