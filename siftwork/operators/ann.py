@@ -86,7 +86,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "co
 
 def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", n).where(F.col("rank") <= k)
+    return scored.withColumn("rank", n.cast("long")).where(F.col("rank") <= k)
 
 
 def approximate_topk(vectors: DataFrame, queries: DataFrame, dim: int, k: int, least: float = 0.7, tables: int = TABLES, bits: int = BITS) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.plans import changes, sources, vectors
+from siftwork.plans import changes, search, sources, vectors
 
-_MODULES = (changes, sources, vectors)
+_MODULES = (changes, sources, vectors, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
