@@ -148,11 +148,17 @@ def fit_graph(df: DataFrame, dim: int, sample: int = SAMPLE, list_size: int = LI
 def class_neighbours(entries: DataFrame, graph: CentroidGraph, dim: int, k: int, min_cosine: float, lists: int = LISTS, ratio: float = RATIO) -> DataFrame:
     """``a_a, a_b, b_a, b_b, cosine``: for each class of equal vectors the ``k`` most similar other classes of at least ``min_cosine`` that share a list."""
     shared = entries.sparkSession.sparkContext.broadcast(graph)  # CENTROIDS bounds its size
-    distinct = entries.groupBy("class_a", "class_b").agg(F.first("embedding").alias("embedding"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
+            # a class goes to its lists once from each task, however many members it has there
+            if len(seen) > 1_000_000:
+                seen.clear()
+            keys = list(zip(whole.column("class_a").to_pylist(), whole.column("class_b").to_pylist()))
+            new = [n for n, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            whole = whole.take(pa.array(new, pa.int64()))
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
                 x = _unit(b.column("embedding"), dim)
@@ -162,9 +168,13 @@ def class_neighbours(entries: DataFrame, graph: CentroidGraph, dim: int, k: int,
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, nth].astype(np.int32)), b.column("class_a").take(at), b.column("class_b").take(at), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())]).cast(pa.binary())], names=["list", "class_a", "class_b", "vector"])
 
-    posted = distinct.mapInArrow(assign, "list int, class_a long, class_b long, vector binary")
+    posted = entries.select("class_a", "class_b", "embedding").mapInArrow(assign, "list int, class_a long, class_b long, vector binary")
 
     def search(t: pa.Table) -> pa.Table:
+        keys = np.stack([np.asarray(t.column("class_a")), np.asarray(t.column("class_b"))], 1)
+        once = np.unique(keys, axis=0, return_index=True)[1]
+        if len(once) < t.num_rows:
+            t = t.take(pa.array(once))
         n = t.num_rows
         x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(n, dim)
         rows, others, cosines = [], [], []
