@@ -84,9 +84,10 @@ def make_of(line: str) -> str:
         return "tags"
     if _NAMED_LIST.match(body) and not _SENTENCE_END.search(body.rstrip(".")):
         return "tags"
-    strung = sum(bool(_STRUNG_TOKEN.match(t.strip(",;|"))) for t in tokens)
-    if len(tokens) >= 3 and strung * 5 >= len(tokens) * 4 and not re.search(r"[(){}=<>;:]", body):
-        return "tags"
+    # a strung token has one of these signs at least
+    if len(tokens) >= 3 and sum(map(body.count, "-_.+/")) * 5 >= len(tokens) * 4 and not re.search(r"[(){}=<>;:]", body):
+        if sum(bool(_STRUNG_TOKEN.match(t.strip(",;|"))) for t in tokens) * 5 >= len(tokens) * 4:
+            return "tags"
     words = _WORD.findall(body)
     if len(_CJK.findall(body)) * 3 > len(body):
         particles = len(re.findall(r"[はがをにのでとも]", body))
