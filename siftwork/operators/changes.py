@@ -55,9 +55,14 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def pending(log: DataFrame, done: DataFrame) -> DataFrame:
-    """The latest events that ``done`` (``key``, ``state``; one row for each key) doesn't hold in the same state."""
-    held = done.select("key", F.col("state").alias("held"), F.lit(True).alias("known"))
-    return latest(log).join(held, "key", "left").where(F.col("known").isNull() | ~F.col("state").eqNullSafe(F.col("held"))).select("part", "key", "offset", "state")
+    """The latest events that ``done`` (``key``, ``state``, and ``offset`` if known; one row for each key) doesn't hold in the same state.
+
+    With an offset, events that came late, after a later state of their key was done, are not pending.
+    """
+    offset = F.col("offset") if "offset" in done.columns else F.lit(None).cast("long")
+    held = done.select("key", F.col("state").alias("held"), offset.alias("held_at"), F.lit(True).alias("known"))
+    new = F.col("known").isNull() | (~F.col("state").eqNullSafe(F.col("held")) & F.coalesce(F.col("offset") > F.col("held_at"), F.lit(True)))
+    return latest(log).join(held, "key", "left").where(new).select("part", "key", "offset", "state")
 
 
 @dataclass
@@ -89,11 +94,11 @@ class ChangeRun:
         return self.spark.read.parquet(path) if exists(self.spark, path) else None
 
     def done(self) -> DataFrame:
-        """The state of each key that the sink holds at its greatest offset."""
+        """The state of each key that the sink holds at its greatest offset, and that offset."""
         held = self.sink()
         if held is None:
-            return self.spark.createDataFrame([], "key string, state string")
-        return held.groupBy("key").agg(F.max_by("state", "offset").alias("state"))
+            return self.spark.createDataFrame([], "key string, state string, offset long")
+        return held.groupBy("key").agg(F.max_by("state", "offset").alias("state"), F.max("offset").alias("offset"))
 
     def plan(self, log: DataFrame, done: DataFrame | None = None) -> tuple[int, DataFrame]:
         """The number and rows of the batch to process: the unfinished one, or a new one written ahead."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.plans import changes, reports, search, sources, vectors
+from siftwork.plans import changes, reports, search, sources, streams, vectors
 
-_MODULES = (changes, sources, vectors, search, reports)
+_MODULES = (changes, sources, vectors, search, reports, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
