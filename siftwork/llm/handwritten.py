@@ -154,10 +154,10 @@ def by_layout(content: str, language: str | None) -> str | None:
         return "dense_lines"
     if language != "css" and s["numbers"] > t.numbers and s["number_lines"] > 0.5:
         return "numbers"
-    if language != "css" and s["numbers"] > t.numbers and s["code_lines"] < 6 and s["lines"] >= 3:
-        return "numbers"
     if s["lines"] >= 12 and s["one_shape"] > t.one_shape:
         return "one_shape"
+    if language != "css" and s["numbers"] > t.numbers and s["code_lines"] < 6 and s["lines"] >= 3:
+        return "numbers"
     if _SOURCE_MAP.search(content[-400:]):
         return "source_map"
     return None
