@@ -180,19 +180,19 @@ _INDEX = _index(ann.BITS)
 _ENTRIES = f"SELECT id, {_D('v')} AS v FROM (SELECT id, arg_max(struct_pack(e := embedding), updated_at).e AS v FROM vectors GROUP BY id) WHERE len(v) = {DIM} AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
 _LSH_PAIRS = f"WITH e AS ({_ENTRIES}), {_index(PAIR_BITS)}, pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM sig x JOIN sig y ON x.table_id = y.table_id AND x.bucket = y.bucket AND x.id < y.id), scored AS (SELECT a, b, list_cosine_similarity(x.v, y.v) AS score FROM pairs JOIN e x ON x.id = a JOIN e y ON y.id = b)"
 _STD = "sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v))"
-ORACLES = {f"vec_{n}_topk": _paired(s) + f" SELECT query, id, round(score, 5) AS score FROM r WHERE rank <= {TOP}" for n, s in _SIM.items()} | {
-    "vec_threshold_search": _paired(_SIM["cosine"], "WHERE score >= 0.3") + f" SELECT query, id, round(score, 5) AS score FROM r WHERE rank <= {TOP}",
+ORACLES = {f"vec_{n}_topk": _paired(s) + f" SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}" for n, s in _SIM.items()} | {
+    "vec_threshold_search": _paired(_SIM["cosine"], "WHERE score >= 0.3") + f" SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}",
     "vec_filtered_after_limit": _paired(_SIM["cosine"]) + f" SELECT query, r.id, rank FROM r JOIN e ON e.id = query AND e.label = r.label WHERE rank <= {TOP}",
-    "vec_similarity_rows": f"WITH e AS ({_ALL}), q AS ({_ASKED}) SELECT query, id, CASE WHEN id = query THEN 1.0::DOUBLE ELSE round(list_cosine_similarity(qv, v), 5) END AS score FROM e, q",
+    "vec_similarity_rows": f"WITH e AS ({_ALL}), q AS ({_ASKED}) SELECT query, id, CASE WHEN id = query THEN 1.0::DOUBLE ELSE round(list_cosine_similarity(qv, v), 5) + 0 END AS score FROM e, q",
     "vec_average_similarity": f"WITH e AS (SELECT * FROM ({_ALL}) ORDER BY id LIMIT 100) SELECT round(coalesce(avg(list_cosine_similarity(a.v, b.v)), 0), 6) AS average FROM e a JOIN e b ON a.id < b.id",
     "vec_distances": f"WITH e AS ({_ALL}), q AS ({_ASKED}) SELECT id, round(greatest(1 - {_SIM['cosine']}, 0), 5) + 0 AS cosine, round(list_distance(qv, v), 5) AS euclidean, round(list_sum(list_transform(list_zip(qv, v), lambda z: abs(z[1] - z[2]))), 5) AS manhattan, round(2 - 2 * list_inner_product(qv, v), 5) + 0 AS dot, round(1 - {_SIM['jaccard']}, 5) AS jaccard FROM e JOIN q ON query = id - id % 20",
-    "vec_normalized": f"WITH e AS ({_ALL}), k AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n2, list_sum(list_transform(v, lambda x: abs(x))) AS n1, list_min(v) AS lo, list_max(v) AS hi, list_avg(v) AS m FROM e), z AS (SELECT *, {_STD} AS sd FROM k) SELECT id, unnest(range(len(v))) AS n, unnest(list_transform(v, lambda x: round(x / n2, 6))) AS l2, unnest(list_transform(v, lambda x: round(x / n1, 6))) AS l1, unnest(list_transform(v, lambda x: round((x - lo) / (hi - lo), 6))) AS minmax, unnest(list_transform(v, lambda x: round((x - m) / sd, 6))) AS zscore FROM z",
+    "vec_normalized": f"WITH e AS ({_ALL}), k AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n2, list_sum(list_transform(v, lambda x: abs(x))) AS n1, list_min(v) AS lo, list_max(v) AS hi, list_avg(v) AS m FROM e), z AS (SELECT *, {_STD} AS sd FROM k) SELECT id, unnest(range(len(v))) AS n, unnest(list_transform(v, lambda x: round(x / n2, 6) + 0)) AS l2, unnest(list_transform(v, lambda x: round(x / n1, 6) + 0)) AS l1, unnest(list_transform(v, lambda x: round((x - lo) / (hi - lo), 6))) AS minmax, unnest(list_transform(v, lambda x: round((x - m) / sd, 6) + 0)) AS zscore FROM z",
     "vec_signatures": f"WITH e AS ({_ALL}), {_INDEX} SELECT id, table_id, bucket FROM sig",
     "vec_bucket_stats": f"WITH e AS ({_ALL}), {_INDEX}, n AS (SELECT count(*) AS n FROM sig GROUP BY table_id, bucket) SELECT (SELECT count(DISTINCT id) FROM sig) AS ids, count(*) AS buckets, avg(n) AS mean_size, list_sort(list(n))[count(*) // 2 + 1] AS median_size FROM n",
     "vec_candidates": f"WITH e AS ({_ALL}), {_INDEX} SELECT q.id AS query, count(DISTINCT s.id) AS n FROM sig q JOIN sig s ON s.table_id = q.table_id AND s.bucket = q.bucket WHERE q.id % 20 = 0 GROUP BY q.id",
-    "vec_ann_topk": f"WITH e AS ({_ALL}), {_INDEX}, c AS (SELECT DISTINCT q.id AS query, s.id AS id FROM sig q JOIN sig s ON s.table_id = q.table_id AND s.bucket = q.bucket AND s.id <> q.id WHERE q.id % 20 = 0), s AS (SELECT query, c.id, list_cosine_similarity(x.v, y.v) AS score FROM c JOIN e x ON x.id = query JOIN e y ON y.id = c.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.3) SELECT query, id, round(score, 5) AS score FROM r WHERE rank <= {TOP}",
-    "vec_duplicate_pairs": _LSH_PAIRS + " SELECT a, b, round(score, 5) AS score FROM scored WHERE score > 0.9",
-    "vec_semantic_duplicates": _LSH_PAIRS + " SELECT a, b, round(score, 5) AS score FROM scored WHERE score >= 0.8",
+    "vec_ann_topk": f"WITH e AS ({_ALL}), {_INDEX}, c AS (SELECT DISTINCT q.id AS query, s.id AS id FROM sig q JOIN sig s ON s.table_id = q.table_id AND s.bucket = q.bucket AND s.id <> q.id WHERE q.id % 20 = 0), s AS (SELECT query, c.id, list_cosine_similarity(x.v, y.v) AS score FROM c JOIN e x ON x.id = query JOIN e y ON y.id = c.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.3) SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}",
+    "vec_duplicate_pairs": _LSH_PAIRS + " SELECT a, b, round(score, 5) + 0 AS score FROM scored WHERE score > 0.9",
+    "vec_semantic_duplicates": _LSH_PAIRS + " SELECT a, b, round(score, 5) + 0 AS score FROM scored WHERE score >= 0.8",
     "vec_quantized": f"WITH e AS ({_ALL}), k AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM e) SELECT id, round(s, 8) AS scale, list_max(list_transform(v, lambda x: abs(x - round(x / s) * s))) <= s * 0.5000001::DOUBLE AS within_half FROM k",
     "vec_store_stats": "SELECT language, code_type, count(*) AS n, count(DISTINCT file_path) AS files FROM vectors GROUP BY GROUPING SETS ((language), (code_type), ())",
     "vec_by_file": "SELECT file_path, count(DISTINCT id) AS ids FROM vectors GROUP BY file_path",
