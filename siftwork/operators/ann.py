@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions.vectors import METRICS, cosine
+from siftwork.functions.vectors import METRICS
 
 #: The factors of the planes' formula (see ``planes``).
 PLANE_FACTORS = (7919, 104729, 1299709, 1103515245, 12345)
 TABLES, BITS = 12, 5
+#: Queries that go to every task as one matrix; more are joined.
+MATRIX_QUERIES = 4096
 #: A search gives at most so many rows, whatever is asked for.
 MOST_RESULTS = 50
 
@@ -71,19 +73,90 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
     return index.join(q, ["table_id", "bucket"]).select("query", "id").distinct()
 
 
+def _similarities(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The similarity of each row of ``x`` (n, dim) with one query, as the metric's column does it."""
+    if metric == "cosine":
+        n = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+        return np.clip(np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0), -1, 1)
+    if metric == "dot":
+        return x @ q
+    if metric == "euclidean":
+        return np.exp(-np.sqrt(((x - q) ** 2).sum(1)))
+    if metric == "manhattan":
+        return 1 / (1 + np.abs(x - q).sum(1))
+    if metric == "jaccard":
+        either = ((x > 0) | (q > 0)).sum(1)
+        return np.divide(((x > 0) & (q > 0)).sum(1), either, out=np.ones(len(x)), where=either > 0)
+    raise KeyError(metric)
+
+
+def _plain(vectors: DataFrame, column: str, dim: int | None) -> DataFrame:
+    known = F.forall(column, lambda v: v.isNotNull())
+    return vectors.where(known if dim is None else known & (F.size(column) == dim))
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
-    """``query, id, score``: for each query the ``k`` nearest of all vectors but itself; ties by id.
+    """``query, id, score, rank``: for each query the ``k`` nearest of all vectors but itself; ties by id.
 
-    ``queries`` (``query``, ``qv``) is a stated set, which the engine broadcasts if it is small and joins in blocks
-    otherwise. Each partition keeps its own best ``k`` before the shuffle.
+    ``queries`` (``query``, ``qv``) is a stated set. Up to MATRIX_QUERIES of them go to every task as a matrix, and each
+    Arrow batch of vectors gives its own best ``k`` (with ties) before the shuffle; more queries, or a metric that was
+    registered, are joined. Vectors of another length than a query's have no score with it.
     """
-    m = METRICS[metric].similarity
-    scored = vectors.join(queries, F.col("id") != F.col("query")).select("query", "id", m(F.col("qv"), F.col("v")).alias("score")).where("score IS NOT NULL")
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
+    at_hand = queries.limit(MATRIX_QUERIES + 1).collect() if metric in ("cosine", "dot", "euclidean", "manhattan", "jaccard") else None
+    if at_hand is None or len(at_hand) > MATRIX_QUERIES:
+        m = METRICS[metric].similarity
+        scored = vectors.join(queries, F.col("id") != F.col("query")).select("query", "id", m(F.col("qv"), F.col("v")).alias("score")).where("score IS NOT NULL")
+        return top_per(scored if least is None else scored.where(F.col("score") >= least), "query", k)
+    asked = [(r["query"], np.array(r["qv"], dtype=np.float64)) for r in at_hand if r["qv"] is not None and None not in r["qv"]]
+    ids, query_kind = vectors.schema["id"].dataType.simpleString(), queries.schema["query"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(query_kind)
+        for b in batches:
+            lists = b.column("v")
+            sizes = np.diff(np.asarray(lists.offsets))
+            for dim in np.unique(sizes):
+                rows = np.flatnonzero(sizes == dim)
+                x = np.asarray(lists.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(len(rows), dim)
+                own = b.column("id").take(pa.array(rows))
+                place: dict = {}
+                for n, name in enumerate(own.to_pylist()):
+                    place.setdefault(name, []).append(n)
+                found_q, found_r, found_s = [], [], []
+                for query, q in asked:
+                    if len(q) != dim:
+                        continue
+                    score = _similarities(metric, x, q)
+                    if query in place:
+                        score[place[query]] = -np.inf
+                    floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+                    hit = np.flatnonzero((score >= floor - 1e-12) & (score > -np.inf) & (score >= (-np.inf if least is None else least)))
+                    found_q += [query] * len(hit)
+                    found_r.append(hit)
+                    found_s.append(score[hit])
+                at = np.concatenate(found_r) if found_r else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found_q, kind), own.take(pa.array(at)), pa.array(np.concatenate(found_s) if found_s else np.zeros(0))], names=["query", "id", "score"])
+
+    scored = _plain(vectors.select("id", "v"), "v", None).mapInArrow(run, f"query {query_kind.simpleString()}, id {ids}, score double")
     return top_per(scored, "query", k)
 
 
+def score_pairs(pairs: DataFrame, dim: int) -> DataFrame:
+    """``pairs`` (``a``, ``b``, vectors ``av``, ``bv`` of ``dim`` numbers) with their cosine as ``score``, by whole Arrow batches."""
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.asarray(batch.column(c).flatten(), dtype=np.float64).reshape(-1, dim) for c in ("av", "bv"))
+            n = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+            score = np.clip(np.divide(np.einsum("nd,nd->n", x, y), n, out=np.zeros(len(x)), where=n > 0), -1, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)], names=["a", "b", "score"])
+
+    return pairs.select("a", "b", "av", "bv").mapInArrow(run, f"{kinds}, score double")
+
+
 def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", n.cast("long")).where(F.col("rank") <= k)
@@ -93,9 +166,9 @@ def approximate_topk(vectors: DataFrame, queries: DataFrame, dim: int, k: int, l
     """As ``exact_topk`` by cosine among the candidates that share a bucket, of at least ``least``, at most MOST_RESULTS."""
     index = signatures(vectors, "id", "v", dim, tables, bits)
     asked = signatures(queries, "query", "qv", dim, tables, bits)
-    pairs = candidates(index, asked).where("query <> id")
-    scored = pairs.join(vectors.select("id", "v"), "id").join(queries, "query").select("query", "id", cosine(F.col("qv"), F.col("v")).alias("score")).where(F.col("score") >= least)
-    return top_per(scored, "query", min(k, MOST_RESULTS))
+    pairs = candidates(index, asked).where("query <> id").select(F.col("query").alias("a"), F.col("id").alias("b"))
+    scored = score_pairs(pairs.join(vectors.select(F.col("id").alias("b"), F.col("v").alias("bv")), "b").join(queries.select(F.col("query").alias("a"), F.col("qv").alias("av")), "a"), dim)
+    return top_per(scored.where(F.col("score") >= least).withColumnsRenamed({"a": "query", "b": "id"}), "query", min(k, MOST_RESULTS))
 
 
 def similar_pairs(vectors: DataFrame, dim: int, threshold: float, strict: bool = True, tables: int = TABLES, bits: int = BITS) -> DataFrame:
@@ -104,7 +177,7 @@ def similar_pairs(vectors: DataFrame, dim: int, threshold: float, strict: bool =
     x, y = index.alias("x"), index.alias("y")
     pairs = x.join(y, (F.col("x.table_id") == F.col("y.table_id")) & (F.col("x.bucket") == F.col("y.bucket"))).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     va, vb = vectors.select(F.col("id").alias("a"), F.col("v").alias("av")), vectors.select(F.col("id").alias("b"), F.col("v").alias("bv"))
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("av"), F.col("bv")).alias("score"))
+    scored = score_pairs(pairs.join(va, "a").join(vb, "b"), dim)
     return scored.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
 
 
