@@ -155,16 +155,21 @@ def observables(text: Column) -> Column:
     return F.filter(F.transform(_trimmed(text), of), lambda s: s["name"].isNotNull())
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON; an object that names a key twice is, too."""
+    return F.try_parse_json(text).isNotNull() | F.from_json(text, "map<string,string>").isNotNull()
+
+
 def json_part(text: Column) -> Column:
     """From the first ``{`` to the last ``}``, if that is JSON; else null."""
     part = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.when(F.try_parse_json(part).isNotNull(), part)
+    return F.when(is_json(part), part)
 
 
 def confidence(text: Column, missing: float = 0.8, invalid: float = 0.7) -> Column:
     """``confidence`` of a JSON response; ``missing`` if it has none, ``invalid`` if it isn't JSON."""
     given = F.get_json_object(text, "$.confidence").try_cast("double")
-    return F.when(F.try_parse_json(text).isNull(), F.lit(invalid)).otherwise(F.coalesce(given, F.lit(missing)))
+    return F.when(~is_json(text), F.lit(invalid)).otherwise(F.coalesce(given, F.lit(missing)))
 
 
 def manifest_dependencies(text: Column) -> Column:

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwork.functions.extract import is_json
+
 
 @dataclass(frozen=True)
 class Field:
@@ -82,7 +84,7 @@ class Response:
             found = F.coalesce(F.transform(items, made), F.array().cast(f"array<{self._type()}>"))
         said = [F.when(_any(s.words, text), self._made(s.row)) for s in self.signs]
         from_text = F.array_compact(F.array(*said)) if said else F.array().cast(f"array<{self._type()}>")
-        return F.when(F.try_parse_json(text).isNotNull(), found).when(text.isNotNull(), from_text)
+        return F.when(is_json(text), found).when(text.isNotNull(), from_text)
 
 
 def _any(words: Sequence[str], text: Column) -> Column:
