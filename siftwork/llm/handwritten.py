@@ -47,6 +47,8 @@ EXTENSIONS = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs
 TOOL_FOLDERS = frozenset("node_modules bower_components jspm_packages __generated__ generated gen codegen target build out dist .next __pycache__".split())
 #: Folders for foreign code, if another folder (the library's) follows.
 FOREIGN_FOLDERS = frozenset("vendor third_party thirdparty third-party extern deps 3rdparty".split())
+#: Lines of code from which a file is one, whatever data it holds besides.
+CODE_LINES = 3
 _LIBRARY_VERSION = re.compile(r"^[A-Za-z][\w.]*(?:-[A-Za-z]\w*)*[-@]v?\d+\.\d+(?:\.\d+)?$")
 _TOOL_NAME = re.compile(r"(?:\.min|\.bundle|\.prod|\.chunk|\.pb|_pb2|\.g|\.generated|\.gen|\.ngfactory|\.ngsummary|\.designer)\.[a-z]+$")
 
@@ -118,7 +120,8 @@ def layout(content: str) -> dict[str, float]:
     n = max(1, len(text))
     no_space = "".join(text.split())
     shapes = Counter(_COUNTED.sub("N", _DIGITS.sub("0", _HEXWORD.sub("H", x.strip()))) for x in lines if len(x) < 400)
-    bare = [x for x in lines if len(x) < 400 and _CODE_WORD.search(x)]
+    # a word of the language within a row of data is none of code
+    bare = [x for x in lines if len(x) < 400 and _CODE_WORD.search(x) and x.lstrip()[0] not in "{[\"'-0123456789"]
     numbers = sum(len(m) for m in _NUMBER.findall(text))
     return {
         "chars": len(text),
@@ -148,7 +151,7 @@ def by_layout(content: str, language: str | None) -> str | None:
         return None
     if s["run"] >= t.encoded_run and s["run"] > 0.4 * s["chars"]:
         return "encoded"
-    if s["mean"] > t.mean and (s["longest"] > t.longest and s["space"] < t.most_space_dense or s["code_lines"] < 6 or s["alnum"] > t.most_alnum):
+    if s["mean"] > t.mean and (s["longest"] > t.longest and s["space"] < t.most_space_dense or s["code_lines"] < CODE_LINES or s["alnum"] > t.most_alnum):
         return "dense_lines" if s["space"] < t.least_space else "data_lines"
     if s["longest"] >= t.longest and s["space"] < t.least_space:
         return "dense_lines"
@@ -156,7 +159,8 @@ def by_layout(content: str, language: str | None) -> str | None:
         return "numbers"
     if s["lines"] >= 12 and s["one_shape"] > t.one_shape:
         return "one_shape"
-    if language != "css" and s["numbers"] > t.numbers and s["code_lines"] < 6 and s["lines"] >= 3:
+    # rows of records have fewer numbers than plain ones, but hardly any code
+    if language != "css" and s["numbers"] > 0.6 * t.numbers and s["code_lines"] < CODE_LINES and s["lines"] >= 3:
         return "numbers"
     if _SOURCE_MAP.search(content[-400:]):
         return "source_map"

@@ -42,7 +42,11 @@ _A_LINK = re.compile(r"<a\b[^>]*>.*?</a>", re.I | re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HASHTAG = re.compile(r"(?<![\w&])#\w[\w-]+")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d:\d\d|at \S+ \(|File \"|Traceback|\d+ (?:passed|failed)|\$ |>>> |npm (?:ERR|WARN)|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)")
-_CODE = re.compile(r"[{};]\s*$|^\s*[}\])]+[;,]?\s*$|=>|::|[=!<>]==?|\+=|-=|&&|\|\||\w\(.*\)\s*[:{;]?\s*$|^\s*(?:import|export|use|from|const|let|var|return|def|fn|pub|class|async|await|if|for|while|switch|case|default|#include|@\w+|///?|/\*|#!)(?:\b|\s|$)(?!.*[.!?]\s*$)|^\s*[\w.]+\s*=\s*\S|^\s*[\w-]+:\s+[\w'\"\[{-]")
+_CODE = re.compile(
+    r"[{};]\s*$|^\s*[}\])]+[;,]?\s*$|=>|::|[=!<>]==?|\+=|-=|&&|\|\||\w\(.*\)\s*[:{;]?\s*$|^\s*[\w.]+\s*=\s*\S|^\s*[\w-]+:\s+[\w'\"\[{-]|^\s*(?:#include|@\w+|#!)"
+    # a word of a language opens code only with its signs behind it, or as a bare import
+    r"|^\s*(?:import|export|use|from|const|let|var|return|def|fn|pub|class|async|await|if|for|while|switch|case|default)\b(?=[^.!?]*[{}()=;'\"*<>])(?!.*[.!?]\s*$)|^\s*import [\w.]+$|^\s*from [\w.]+ import [\w, ]+$"
+)
 _CONFIG = re.compile(r"^\s*[\"']?[\w.$-]+[\"']?\s*[:=]\s*(?:[\"'\[{]|[\d.]+,?\s*$|true|false|null)|^\s*[\"'][^\"']*[\"']\s*,?\s*$|^\s*\[[\w.-]+\]\s*$")
 _COMMIT = re.compile(r"^\w+\([\w-]+\)!?: ")
 _SENTENCE_END = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。！？]")
