@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from siftwork.runtime import keep
 
-#: Vectors of the sample that centroids and graph are fitted on, at most.
-SAMPLE = 65_536
-#: Vectors for each list that are aimed at, centroids at most (what a task holds), sample vectors for each centroid at least.
-LIST_SIZE, CENTROIDS, FOR_EACH = 500, 8_192, 8
+#: Vectors of the sample that centroids and graph are fitted on, at most, and for each centroid.
+SAMPLE, FOR_EACH = 262_144, 32
+#: Vectors for each list that are aimed at, and centroids at most (8 MB of 64 numbers, which a task holds).
+LIST_SIZE, CENTROIDS = 1000, 32_768
 #: Lists of a vector at most, and how much farther than the nearest a centroid may be.
-LISTS, RATIO = 4, 1.12
+LISTS, RATIO = 5, 1.15
+#: The least difference to the nearest centroid's distance that is allowed, as a share of the farthest neighbour's distance.
+SLACK = 0.25
 
 
 def balanced_centroids(sample: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
@@ -38,7 +40,7 @@ def balanced_centroids(sample: np.ndarray, count: int, seed: int = 1) -> np.ndar
     while parts:
         rows, want = parts.pop()
         x = sample[rows]
-        if want <= 1 or len(rows) < 2 * FOR_EACH:
+        if want <= 1 or len(rows) < 8:
             out.append(x.mean(0))
             continue
         c = x[rng.choice(len(x), 2, replace=False)]
@@ -55,7 +57,7 @@ def balanced_centroids(sample: np.ndarray, count: int, seed: int = 1) -> np.ndar
     c = np.stack(out)
     for _ in range(2):
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        owner = np.concatenate([(sample[k : k + 4096] @ c.T).argmax(1) for k in range(0, len(sample), 4096)])
+        owner = np.concatenate([(sample[k : k + 512] @ c.T).argmax(1) for k in range(0, len(sample), 512)])
         n = np.bincount(owner, minlength=len(c))
         means = np.zeros_like(c)
         np.add.at(means, owner, sample)
@@ -75,33 +77,42 @@ class CentroidGraph:
     @classmethod
     def build(cls, centroids: np.ndarray, degree: int = 24, seed: int = 2) -> CentroidGraph:
         n = len(centroids)
-        degree = min(degree, max(n - 1, 0))
+        # with more centroids a walk is longer, and each step must see more
+        degree = min(degree if n <= 1024 else degree + 8, max(n - 1, 0))
         links = np.zeros((n, degree), np.int32)
-        for k in range(0, n if degree else 0, 1024):
-            s = centroids[k : k + 1024] @ centroids.T
+        for k in range(0, n if degree else 0, 256):
+            s = centroids[k : k + 256] @ centroids.T
             s[np.arange(len(s)), np.arange(k, k + len(s))] = -2
-            links[k : k + 1024] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
-        hubs = np.random.default_rng(seed).permutation(n)[: max(1, min(n, int(4 * np.sqrt(n))))]
+            links[k : k + 256] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+        hubs = np.random.default_rng(seed).permutation(n)[: max(1, min(n, int(8 * np.sqrt(n))))]
         return cls(centroids, links, np.sort(hubs).astype(np.int32))
 
-    def nearest(self, x: np.ndarray, k: int, beam: int = 10, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the ``k`` nearest centroids that the walk finds, nearest first, and their cosines."""
+    def nearest(self, x: np.ndarray, k: int, beam: int = 24, hops: int | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the ``k`` nearest centroids that the walk finds, nearest first, and their cosines.
+
+        Of the ``beam`` best that a row has seen, each hop opens the ``width`` best that aren't open yet.
+        """
         beam = max(beam, k)
+        hops = hops or (6 if len(self.centroids) <= 1024 else 8)
         hub_sims = x @ self.centroids[self.hubs].T
-        width = min(beam, len(self.hubs))
-        top = np.argpartition(-hub_sims, width - 1, axis=1)[:, :width]
+        first = min(beam, len(self.hubs))
+        top = np.argpartition(-hub_sims, first - 1, axis=1)[:, :first]
         ids, sims = self.hubs[top], np.take_along_axis(hub_sims, top, 1)
-        if self.links.shape[1]:
-            for _ in range(hops):
-                best = np.argpartition(-sims, min(3, sims.shape[1] - 1), axis=1)[:, :4]
-                more = self.links[np.take_along_axis(ids, best, 1)].reshape(len(x), -1)
-                found = np.einsum("nd,nkd->nk", x, self.centroids[more], optimize=False)
-                ids, sims = np.concatenate([ids, more], 1), np.concatenate([sims, found], 1)
-                order = np.argsort(ids, axis=1, kind="stable")
-                ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-                sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2
-                top = np.argpartition(-sims, min(beam, sims.shape[1]) - 1, axis=1)[:, :beam]
-                ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+        opened = np.zeros(ids.shape, bool)
+        for _ in range(hops if self.links.shape[1] else 0):
+            closed = np.where(opened, -3, sims)
+            best = np.argpartition(-closed, min(width, closed.shape[1]) - 1, axis=1)[:, :width]
+            np.put_along_axis(opened, best, True, 1)
+            more = self.links[np.take_along_axis(ids, best, 1)].reshape(len(x), -1)
+            found = np.matmul(self.centroids[more], x[:, :, None])[:, :, 0]
+            ids, sims = np.concatenate([ids, more], 1), np.concatenate([sims, found], 1)
+            opened = np.concatenate([opened, np.zeros(more.shape, bool)], 1)
+            # of what was seen twice, the one that is open stays
+            order = np.argsort(ids.astype(np.int64) * 2 + ~opened, axis=1)
+            ids, sims, opened = (np.take_along_axis(v, order, 1) for v in (ids, sims, opened))
+            sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2
+            top = np.argpartition(-sims, min(beam, sims.shape[1]) - 1, axis=1)[:, :beam]
+            ids, sims, opened = (np.take_along_axis(v, top, 1) for v in (ids, sims, opened))
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
@@ -136,18 +147,21 @@ def fit_graph(df: DataFrame, dim: int, sample: int = SAMPLE, list_size: int = LI
     n = rows.count()
     if not n:
         return None
+    count = max(1, min(CENTROIDS, n // list_size))
+    sample = min(sample, FOR_EACH * count)
     # a share of the rows first, so that the ordering sees about as many rows as the sample has, however many there are
     if n > 2 * sample:
         rows = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n // sample)) == 0)
     chosen = rows.select(F.xxhash64("id", F.lit(11)).alias("h"), "embedding").orderBy("h").limit(sample).select("embedding")
     x = _unit(chosen.toArrow().column("embedding").combine_chunks(), dim)
-    count = int(max(1, min(CENTROIDS, n // list_size, len(x) // FOR_EACH)))
-    return CentroidGraph.build(balanced_centroids(x, count))
+    return CentroidGraph.build(balanced_centroids(x, max(1, min(count, len(x) // 8))))
 
 
 def class_neighbours(entries: DataFrame, graph: CentroidGraph, dim: int, k: int, min_cosine: float, lists: int = LISTS, ratio: float = RATIO) -> DataFrame:
     """``a_a, a_b, b_a, b_b, cosine``: for each class of equal vectors the ``k`` most similar other classes of at least ``min_cosine`` that share a list."""
     shared = entries.sparkSession.sparkContext.broadcast(graph)  # CENTROIDS bounds its size
+    # a neighbour may be this far off, so a vector right at its centroid needs more than a share of next to nothing
+    slack = SLACK * float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
@@ -164,7 +178,7 @@ def class_neighbours(entries: DataFrame, graph: CentroidGraph, dim: int, k: int,
                 x = _unit(b.column("embedding"), dim)
                 ids, sims = g.nearest(x, min(lists, len(g.centroids)))
                 distance = np.sqrt(np.maximum(2 - 2 * sims, 0))
-                row, nth = np.nonzero(distance <= ratio * distance[:, :1] + 1e-6)
+                row, nth = np.nonzero(distance <= np.maximum(ratio * distance[:, :1], distance[:, :1] + slack) + 1e-6)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, nth].astype(np.int32)), b.column("class_a").take(at), b.column("class_b").take(at), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())]).cast(pa.binary())], names=["list", "class_a", "class_b", "vector"])
 
