@@ -28,7 +28,7 @@ SAMPLE, FOR_EACH = 262_144, 32
 #: Vectors for each list that are aimed at, and centroids at most (8 MB of 64 numbers, which a task holds).
 LIST_SIZE, CENTROIDS = 1000, 32_768
 #: Lists of a vector at most, and how much farther than the nearest a centroid may be.
-LISTS, RATIO = 5, 1.15
+LISTS, RATIO = 4, 1.15
 #: The least difference to the nearest centroid's distance that is allowed, as a share of the farthest neighbour's distance.
 SLACK = 0.25
 
