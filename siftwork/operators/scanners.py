@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwork.runtime import spread
+
 _START = re.compile(r"^(?:async )?function |=> \{|\(.*:.*\{|:.*\(.*\{|\(.*\{.*:")
 
 
@@ -209,4 +211,4 @@ def scan(df: DataFrame, scanner: Callable, key_col: str, text_col: str, **option
             cols = [made.column(c).combine_chunks() for c in kinds.names]
             yield pa.RecordBatch.from_arrays([b.column("__key").take(pa.array(source, pa.int64())), *cols], names=[key_col, *kinds.names])
 
-    return df.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text")).mapInArrow(run, T.StructType([key, *found.fields]))
+    return spread(df.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"))).mapInArrow(run, T.StructType([key, *found.fields]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as N
 from siftwork.operators import search as S
-from siftwork.runtime import table
+from siftwork.runtime import spread, table
 
 #: The stated queries of these searches.
 QUERY, WORDS, NAME = "export async function session", "the Lattice Handler for each error", "session"
@@ -71,7 +71,7 @@ def _asked(spark) -> DataFrame:
 
 def rank_documents(spark, folder):
     """Every document's score for each question (a stated, small set)."""
-    d = _documents(spark, folder).join(_asked(spark))
+    d = spread(_documents(spark, folder)).join(_asked(spark))
     return d.select("query", "doc_id", F.round(S.rerank_score(F.col("question"), F.col("text")), 6).alias("score"))
 
 
@@ -103,7 +103,7 @@ def _combined(spark, folder) -> DataFrame:
     from siftwork.operators.ann import combined_confidence, combined_score
 
     q = F.array(*[F.lit(w) for w in ASKED[0].split()])
-    d = _documents(spark, folder).select("doc_id", "source", "doc_path", "text", N.jaccard(N.words(F.col("text")), q).alias("sim"), S.rerank_score(F.lit(ASKED[0]), F.col("text")).alias("rr"))
+    d = spread(_documents(spark, folder)).select("doc_id", "source", "doc_path", "text", N.jaccard(N.words(F.col("text")), q).alias("sim"), S.rerank_score(F.lit(ASKED[0]), F.col("text")).alias("rr"))
     return d.withColumn("score", combined_score(F.col("sim"), F.col("rr"))).withColumn("confidence", combined_confidence(F.col("sim"), F.col("rr")))
 
 

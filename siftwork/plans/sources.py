@@ -9,7 +9,7 @@ from siftwork.functions import classify as C
 from siftwork.functions import extract as X
 from siftwork.functions import text as N
 from siftwork.operators import scanners
-from siftwork.runtime import table
+from siftwork.runtime import spread, table
 
 
 def c() -> Column:
@@ -51,7 +51,7 @@ def src_types(spark, folder):
 
 
 def src_complexity(spark, folder):
-    return _files(spark, folder).select("path", C.cyclomatic(c()).cast("long").alias("cyclomatic"), C.complexity(c()).alias("complexity"), F.round(C.weighted_complexity(c()), 6).alias("weighted"), F.round(C.context_complexity(c()), 6).alias("contextual"))
+    return spread(_files(spark, folder).select("path", "content")).select("path", C.cyclomatic(c()).cast("long").alias("cyclomatic"), C.complexity(c()).alias("complexity"), F.round(C.weighted_complexity(c()), 6).alias("weighted"), F.round(C.context_complexity(c()), 6).alias("contextual"))
 
 
 def src_patterns(spark, folder):
@@ -81,7 +81,7 @@ def src_plain_functions(spark, folder):
 
 def src_dependencies(spark, folder):
     """Dependency edges of each file."""
-    return _files(spark, folder).select("path", F.explode(X.dependencies(c())).alias("d")).select("path", "d.kind", "d.target", "d.strength")
+    return spread(_files(spark, folder).select("path", "content")).select("path", F.explode(X.dependencies(c())).alias("d")).select("path", "d.kind", "d.target", "d.strength")
 
 
 def src_dependents(spark, folder):
