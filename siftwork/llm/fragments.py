@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.runtime import keep
+from siftwork.runtime import keep, spread
 
 _WORDS = re.compile(r"[a-z0-9_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -127,11 +127,11 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, thre
             )
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("class_a", T.LongType()), T.StructField("class_b", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    hashed = keep(given.mapInArrow(keyed, schema), name)
+    hashed = keep(spread(given).mapInArrow(keyed, schema), name)
     members = hashed.select("id", "class_a", "class_b").distinct()
     # one shuffle serves to drop repeats, and both sides of the join; a class goes by half of its key here, which the texts settle
-    spread = hashed.select("class_a", "size", F.explode("bands").alias("bucket")).repartition("bucket")
-    bucketed = spread.groupBy("bucket", "class_a").agg(F.first("size").alias("size"))
+    exploded = hashed.select("class_a", "size", F.explode("bands").alias("bucket")).repartition("bucket")
+    bucketed = exploded.groupBy("bucket", "class_a").agg(F.first("size").alias("size"))
     one, other = bucketed.alias("x"), bucketed.alias("y")
     alike = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")  # else the union is too large
     candidates = keep(one.join(other, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.class_a") < F.col("y.class_a")) & alike).select(F.col("x.class_a").alias("one"), F.col("y.class_a").alias("other")).distinct(), f"{name}-candidates")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.runtime import spread
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -187,4 +189,4 @@ def not_handwritten(df: DataFrame, path_col: str = "path", content_col: str = "c
                     signals.append(signal)
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(signals, pa.string())], names=["path", "signal"])
 
-    return df.select(F.col(path_col).cast("string").alias("a"), F.col(content_col).alias("b"), F.col(language_col).alias("c")).mapInArrow(run, "path string, signal string")
+    return spread(df.select(F.col(path_col).cast("string").alias("a"), F.col(content_col).alias("b"), F.col(language_col).alias("c"))).mapInArrow(run, "path string, signal string")

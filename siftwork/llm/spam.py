@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.runtime import spread
+
 #: Characters of a block at most; longer runs of lines make several blocks.
 BLOCK = 4000
 #: Share of a document's characters in strung-together blocks above which it is a case.
@@ -188,4 +190,4 @@ def stuffed_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             hit = np.flatnonzero(shares > share)
             yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(hit)), pa.array(shares[hit])], names=[id_col, "share"])
 
-    return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, share double")
+    return spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))).mapInArrow(run, f"`{id_col}` {kind}, share double")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwork.runtime import spread
+
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: How this tokenizer's words are cut out of a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -195,4 +197,4 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = pa.array(np.diff(ends).astype(np.int32)) if counts_only else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column("__id"), made], names=[id_col, out.names[1]])
 
-    return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, out)
+    return spread(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))).mapInArrow(run, out)
