@@ -124,7 +124,7 @@ def layout(content: str) -> dict[str, float]:
     shapes = Counter(_COUNTED.sub("N", _DIGITS.sub("0", _HEXWORD.sub("H", x.strip()))) for x in lines if len(x) < 400)
     # a word of the language within a row of data is none of code
     bare = [x for x in lines if len(x) < 400 and _CODE_WORD.search(x) and x.lstrip()[0] not in "{[\"'-0123456789"]
-    numbers = sum(len(m) for m in _NUMBER.findall(text))
+    numbers = _NUMBER.findall(text)
     return {
         "chars": len(text),
         "lines": len(lines),
@@ -132,8 +132,7 @@ def layout(content: str) -> dict[str, float]:
         "mean": n / max(1, len(lines)),
         "space": 1 - len(no_space) / n,
         "alnum": sum(map(str.isalnum, no_space)) / max(1, len(no_space)),
-        "numbers": 100 * len(_NUMBER.findall(text)) / n,
-        "number_chars": numbers / max(1, len(no_space)),
+        "numbers": 100 * len(numbers) / n,
         "run": sum(len(x) for x in _RUN.findall(text)),
         "one_shape": max((c for s, c in shapes.items() if len(s) > 2), default=0) / max(1, len(lines)),
         "code_lines": len(bare),

@@ -40,7 +40,7 @@ SMALL_WORDS = frozenset(
 )
 _URL = re.compile(r"(?:https?|ftp)://[^\s<>()\[\]\"']+|www\.[^\s<>()\[\]\"']+", re.I)
 _MD_LINK = re.compile(r"!?\[[^\[\]]*\]\((?:https?://|www\.|/|#)[^()\s]*\)")
-_A_LINK = re.compile(r"<a\b[^>]*>.*?</a>", re.I | re.S)
+_A_LINK = re.compile(r"<a\b[^>]{0,1000}>.{0,1000}?</a>", re.I | re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HASHTAG = re.compile(r"(?<![\w&])#\w[\w-]+")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d:\d\d|at \S+ \(|File \"|Traceback|\d+ (?:passed|failed)|\$ |>>> |npm (?:ERR|WARN)|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)")
