@@ -16,23 +16,26 @@ from siftwork.runtime import table
 MOST_RESPONSES = 200
 
 
-def _cache(spark, folder) -> DataFrame:
-    """The last entry of every path."""
-    e = table(spark, folder, "cache_entry").where("path IS NOT NULL").select(normal_path("path").alias("path"), F.lower("file_hash").alias("hash"), "last_analyzed", F.col("metadata.size").alias("size"), F.col("metadata.line_count").alias("n_lines"), F.col("summary.file_type").alias("file_type"))
-    return e.groupBy("path").agg(F.max(F.struct("last_analyzed", "hash", "size", "n_lines", "file_type")).alias("e")).select("path", "e.*")
+#: Where the facts of a cached entry lie.
+_ENTRY_FACTS = {"size": "metadata.size", "n_lines": "metadata.line_count", "file_type": "summary.file_type"}
 
 
-def _current(spark, folder) -> DataFrame:
-    """The last state of every scanned file."""
-    facts = ["size", "line_count", "file_type", "complexity", "summary", "project"]
+def _cache(spark, folder, *facts: str) -> DataFrame:
+    """The last entry of every path, with the facts asked for; no other columns are read."""
+    e = table(spark, folder, "cache_entry").where("path IS NOT NULL").select(normal_path("path").alias("path"), F.lower("file_hash").alias("hash"), "last_analyzed", *[F.col(_ENTRY_FACTS[f]).alias(f) for f in facts])
+    return e.groupBy("path").agg(F.max(F.struct("last_analyzed", "hash", *facts)).alias("e")).select("path", "e.*")
+
+
+def current_files(spark, folder, *facts: str) -> DataFrame:
+    """The last state of every scanned file, with the facts asked for; no other columns are read."""
     m = table(spark, folder, "file_metadata").where("path IS NOT NULL AND hash IS NOT NULL").select(normal_path("path").alias("path"), F.lower("hash").alias("hash"), "revision", *facts)
     # repeated rows of a state may lack facts: each fact is the greatest that any of them has
-    states = m.groupBy("path", "revision", "hash").agg(*[F.max(f).alias(f) for f in facts])
+    states = m.groupBy("path", "revision", "hash").agg(*[F.max(f).alias(f) for f in facts]) if facts else m
     return states.groupBy("path").agg(F.max(F.struct("revision", "hash", *facts)).alias("m")).select("path", "m.*")
 
 
 def cache_stats(spark, folder):
-    return K.table_stats(_cache(spark, folder), F.col("size"), F.col("last_analyzed"))
+    return K.table_stats(_cache(spark, folder, "size"), F.col("size"), F.col("last_analyzed"))
 
 
 def cache_stale(spark, folder):
@@ -42,24 +45,24 @@ def cache_stale(spark, folder):
 
 
 def cache_to_analyse(spark, folder):
-    return K.to_analyse(_current(spark, folder), _cache(spark, folder), "path", "hash").select("path", "change_type")
+    return K.to_analyse(current_files(spark, folder), _cache(spark, folder), "path", "hash").select("path", "change_type")
 
 
 def cache_upserted(spark, folder):
     """The table after an upsert of the current files: rows and size by type."""
-    new = _current(spark, folder).select("path", "hash", "size", F.col("line_count").alias("n_lines"), "file_type")
-    return K.upsert(_cache(spark, folder).drop("last_analyzed"), new, "path").groupBy("file_type").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    new = current_files(spark, folder, "size", "file_type").select("path", "hash", "size", "file_type")
+    return K.upsert(_cache(spark, folder, "size", "file_type").drop("last_analyzed"), new, "path").groupBy("file_type").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
 def cache_left(spark, folder):
     """Entries left after those without a source file are deleted."""
     gone = _cache(spark, folder).join(table(spark, folder, "source_files").select("path"), "path", "left_anti")
-    return K.without(_cache(spark, folder), gone, "path").groupBy("file_type").agg(F.count("*").alias("n"))
+    return K.without(_cache(spark, folder, "file_type"), gone, "path").groupBy("file_type").agg(F.count("*").alias("n"))
 
 
 def cache_run_actions(spark, folder):
     """What a run does: files added, updated, unchanged."""
-    j = _current(spark, folder).select("path", "hash").join(_cache(spark, folder).select("path", F.col("hash").alias("held"), F.lit(True).alias("there")), "path", "left")
+    j = current_files(spark, folder).select("path", "hash").join(_cache(spark, folder).select("path", F.col("hash").alias("held"), F.lit(True).alias("there")), "path", "left")
     action = F.when(F.col("there").isNull(), "added").when(F.col("hash").eqNullSafe(F.col("held")), "unchanged").otherwise("updated")
     return j.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
@@ -88,7 +91,7 @@ def response_hits(spark, folder):
 
 def report_health(spark, folder):
     """Mean complexity as a level, share of tests, total size."""
-    m = _current(spark, folder)
+    m = current_files(spark, folder, "complexity", "file_type", "size")
     score = F.avg(F.when(F.col("complexity") == "Low", 1.0).when(F.col("complexity") == "Medium", 2.0).when(F.col("complexity") == "High", 3.0))
     level = F.when(F.col("score") < 1.5, "Low").when(F.col("score") < 2.5, "Medium").otherwise("High")
     a = m.agg(score.alias("score"), (F.count_if(F.col("file_type") == "Test") / F.count("*") * 100).alias("test_share"), F.sum("size").alias("total_size"), F.count("*").alias("files"))
@@ -98,7 +101,7 @@ def report_health(spark, folder):
 def report_recommendations(spark, folder):
     """Which recommendations hold."""
     tests = F.count_if(F.col("file_type") == "Test")
-    a = _current(spark, folder).agg(
+    a = current_files(spark, folder, "line_count", "complexity", "file_type", "size", "summary").agg(
         F.coalesce(F.bool_or((F.col("line_count") > 300) & (F.col("complexity") == "High")), F.lit(False)).alias("split_large_files"),
         (tests == 0).alias("add_tests"),
         ((tests > 0) & (tests / F.count("*") < 0.3)).alias("more_tests"),
@@ -110,7 +113,7 @@ def report_recommendations(spark, folder):
 
 def report_status(spark, folder):
     """Files, Rust and TypeScript files, complex files, mean size, health from 5 to 10."""
-    m = _current(spark, folder)
+    m = current_files(spark, folder, "complexity", "size")
     ext = C.extension(F.col("path"))
     high = F.count_if(F.col("complexity") == "High")
     return m.agg(F.count("*").alias("files"), F.count_if(ext == "rs").alias("rust"), F.count_if(ext == "ts").alias("typescript"), high.alias("complex"), F.floor(F.coalesce(F.sum("size"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("mean_size"), F.round(10.0 - high / F.greatest(F.count("*"), F.lit(1)) * 5.0, 6).alias("health"))
@@ -118,22 +121,22 @@ def report_status(spark, folder):
 
 def report_largest(spark, folder):
     """The ten largest files."""
-    return _current(spark, folder).where("size IS NOT NULL").orderBy(F.desc("size"), "path").limit(10).select("path", "size")
+    return current_files(spark, folder, "size").where("size IS NOT NULL").orderBy(F.desc("size"), "path").limit(10).select("path", "size")
 
 
 def report_by_type(spark, folder):
     """Rollup by project and type."""
-    m = _current(spark, folder)
+    m = current_files(spark, folder, "project", "file_type", "line_count")
     return m.rollup("project", "file_type").agg(F.count("*").alias("n"), F.sum("line_count").alias("n_lines"), F.grouping_id().alias("level"))
 
 
 def report_modules(spark, folder):
-    return _current(spark, folder).where("file_type = 'Module'").groupBy(C.module_type(F.col("path")).alias("module_type")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return current_files(spark, folder, "file_type").where("file_type = 'Module'").groupBy(C.module_type(F.col("path")).alias("module_type")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
 
 def report_summary(spark, folder):
     """One line for each project."""
-    p = _current(spark, folder).where("project IS NOT NULL").groupBy("project").agg(F.count("*").alias("n"), F.count_if(F.col("complexity") == "High").alias("h"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
+    p = current_files(spark, folder, "project", "complexity", "size").where("project IS NOT NULL").groupBy("project").agg(F.count("*").alias("n"), F.count_if(F.col("complexity") == "High").alias("h"), F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
     return p.select("project", F.format_string("%s: %d files, %d complex, %d bytes", "project", "n", "h", "s").alias("line"))
 
 
@@ -227,7 +230,7 @@ def json_props(spark, folder):
 
 
 
-QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
+QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith(("_", "current_files"))}
 
 _N = "'.' || list_aggregate(list_transform(list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda s: s <> '' AND s <> '.'), lambda s: '/' || s), 'string_agg', '')"
 _CACHE = f"c AS (SELECT path, e.hash AS hash, e.last_analyzed AS last_analyzed, e.size AS size, e.n_lines AS n_lines, e.file_type AS file_type FROM (SELECT {_N} AS path, max(struct_pack(last_analyzed := last_analyzed, hash := lower(file_hash), size := metadata.size, n_lines := metadata.line_count, file_type := summary.file_type)) AS e FROM cache_entry WHERE path IS NOT NULL GROUP BY 1))"

@@ -81,7 +81,7 @@ def context(spark, folder, query, max_tokens, include_tests):
 
 @tool("file", "What is known of one file", path="")
 def one_file(spark, folder, path):
-    return reports._current(spark, folder).where(F.col("path") == path)
+    return reports.current_files(spark, folder, "size", "line_count", "file_type", "complexity", "summary", "project").where(F.col("path") == path)
 
 
 @tool("status", "Files, complexity and health")
