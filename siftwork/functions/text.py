@@ -89,3 +89,22 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
+
+
+def ellipsis(text: Column, most: int) -> Column:
+    """At most ``most`` characters, the last three dots if the text is longer."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(max(most - 3, 0))), F.lit("...")))
+
+
+def literal_type(value: Column) -> Column:
+    """The type of a literal as source code writes it; ``auto`` for what isn't one."""
+    v = F.trim(value)
+    return (
+        F.when(F.rlike(v, F.lit(r"^(['\"`]).*\1$")), "string")
+        .when(F.rlike(v, F.lit(r"^[-+]?(?:\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?|0[xX][0-9a-fA-F]+)$")), "number")
+        .when(v.isin("true", "false"), "boolean")
+        .when(v.isin("null", "undefined"), v)
+        .when(F.startswith(v, F.lit("[")), "array")
+        .when(F.startswith(v, F.lit("{")), "object")
+        .when(v.isNotNull(), "auto")
+    )

@@ -8,7 +8,7 @@ from siftwork.functions import extract as X
 from siftwork.functions import responses as R
 from siftwork.functions import text as N
 from siftwork.functions import vectors as V
-from siftwork.functions.paths import normal_path
+from siftwork.functions.paths import lookup_key, normal_path, paths_match, project_relative
 
 
 def one(spark, column, **values):
@@ -151,3 +151,24 @@ def test_responses(spark):
     assert one(spark, R.embedding_of(t, 3), t="[1, 2]") is None
     assert one(spark, R.bullet_names(t), t="- a: x\nno\n - b") == ["a", "b"]
     assert math.isclose(one(spark, N.sigmoid(F.lit(0.0)), t="x"), 0.5)
+
+
+@pytest.mark.parametrize(("path", "relative", "key"), [("/p/app/src/a.ts", "./src/a.ts", "./src/a.ts"), ("/other/x/src/a.ts", "./src/a.ts", "./src/a.ts"), ("/etc/a", "/etc/a", "/etc/a"), ("src/app/test.ts", "src/app/test.ts", "./src/app/test.ts"), ("./a", "./a", "./a")])
+def test_project_paths(spark, path, relative, key):
+    assert one(spark, project_relative(F.col("p"), "/p/app"), p=path) == relative
+    assert one(spark, lookup_key(F.col("p"), "/p/app"), p=path) == key
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("./a", "a", True), ("./src/a", "/x/src/a", True), ("src/a", "src/b", False), ("a", "b", False)])
+def test_paths_match(spark, a, b, same):
+    assert one(spark, paths_match(F.col("a"), F.col("b")), a=a, b=b) is same
+
+
+@pytest.mark.parametrize(("value", "want"), [("'a'", "string"), ("-1.5e3", "number"), ("0xFF", "number"), ("true", "boolean"), ("null", "null"), ("[1]", "array"), ("{}", "object"), ("call()", "auto"), (None, None)])
+def test_literal_type(spark, value, want):
+    assert one(spark, N.literal_type(F.col("v")), v=value) == want
+
+
+def test_ellipsis(spark):
+    assert one(spark, N.ellipsis(F.col("t"), 6), t="abcdefgh") == "abc..."
+    assert one(spark, N.ellipsis(F.col("t"), 6), t="abcdef") == "abcdef"
