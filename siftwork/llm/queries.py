@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import docpairs, fragments, handwritten, neighbours, packing, pieces, spam, tokens
-from siftwork.runtime import table
+from siftwork.runtime import keep, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,11 +37,14 @@ def p4_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return docpairs.documented_functions(docpairs.symbol_table(table(spark, folder, "source_files")))
+    # the symbol table is read three times
+    return docpairs.documented_functions(keep(docpairs.symbol_table(table(spark, folder, "source_files")), "symbols"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p5_pairs(spark, folder).where("description_of = 'own'").select("path", "line").distinct()
+    # of the union only the definitions' own descriptions are left, so the symbol table is read once
+    pairs = docpairs.documented_functions(docpairs.symbol_table(table(spark, folder, "source_files")))
+    return pairs.where("description_of = 'own'").select("path", "line").distinct()
 
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
