@@ -271,6 +271,7 @@ ORACLES = {
     "impact_functions": "SELECT DISTINCT file_path, name, location.line AS line, CASE WHEN s <= 1 THEN 'Low' WHEN s <= 3 THEN 'Medium' ELSE 'High' END AS severity FROM (SELECT *, 2 * coalesce(len(list_filter(modifiers, lambda m: contains(m, 'public') OR contains(m, 'export'))) > 0, false)::INT + (coalesce(len(parameters), 0) > 5)::INT + coalesce(is_async, false)::INT AS s FROM function_info WHERE name IS NOT NULL)",
     "impact_cascade": f"SELECT unnest(list_distinct({_IMPORTS})) AS module, path, 'Direct' AS effect, 'Medium' AS level FROM source_files WHERE content IS NOT NULL",
     "response_relations": f"WITH {_RESP} SELECT doc_id, 'Extends' AS kind, source, 't' AS target, 0.5::DOUBLE AS strength FROM d WHERE kind = 'list' AND source IS NOT NULL UNION ALL SELECT doc_id, 'Uses', 'a', 'b', 0.5 FROM d WHERE kind = 'list' UNION ALL SELECT doc_id, 'Uses', 'detected_function', 'dependency_function', 0.6 FROM d WHERE kind = 'text' AND {_HAS('text', 'uses', 'depends')}",
+    "response_confidence": f"WITH {_RESP} SELECT doc_id, CASE kind WHEN 'list' THEN round(doc_id % 10 / 10::DOUBLE, 6) WHEN 'other' THEN 0.8 WHEN 'json' THEN coalesce(try_cast(json_extract_string(CASE WHEN kind = 'json' THEN text END, '$.confidence') AS DOUBLE), 0.8) ELSE 0.7 END::DOUBLE AS confidence FROM d",
     "response_risk": f"SELECT doc_id, CASE WHEN {_HAS('text', 'critical', 'breaking', 'high risk', 'dangerous')} THEN 'High' WHEN {_HAS('text', 'medium risk', 'moderate')} THEN 'Medium' ELSE 'Low' END AS overall, CASE WHEN {_HAS('text', 'critical', 'breaking')} THEN 0.7 WHEN {_HAS('text', 'high risk', 'dangerous')} THEN 0.5 WHEN {_HAS('text', 'medium risk', 'moderate')} THEN 0.3 ELSE 0.1 END::DOUBLE AS breaking, CASE WHEN {_HAS('text', 'critical', 'breaking')} THEN 0.5 WHEN {_HAS('text', 'high risk', 'dangerous')} THEN 0.4 WHEN {_HAS('text', 'medium risk', 'moderate')} THEN 0.2 ELSE 0.1 END::DOUBLE AS regression, CASE WHEN {_HAS('text', 'performance', 'slow')} THEN 0.3 ELSE 0.1 END::DOUBLE AS performance, {_HAS('text', 'security', 'vulnerability')} AS security FROM documents WHERE text IS NOT NULL",
     "json_props": "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, round(sum(value), 2) AS value FROM events GROUP BY event_type",
 }

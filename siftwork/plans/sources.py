@@ -92,7 +92,7 @@ def src_dependents(spark, folder):
 
 def src_components(spark, folder):
     i = _files(spark, folder).select("path", X.component_info(c()).alias("i")).where("i IS NOT NULL")
-    return i.select("path", "i.selector", F.array_join("i.inputs", ",").alias("inputs"), F.array_join("i.outputs", ",").alias("outputs"), F.array_join("i.hooks", ",").alias("hooks"))
+    return i.select("path", "i.selector", F.array_join("i.inputs", ",").alias("inputs"), F.array_join("i.outputs", ",").alias("outputs"), F.array_join(F.array_sort("i.hooks"), ",").alias("hooks"))
 
 
 def src_services(spark, folder):
@@ -271,6 +271,13 @@ ORACLES = {
     "src_imported_names": f"SELECT name, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT path, unnest({_NAMES}) AS name FROM {_FILES}) GROUP BY name",
     "src_exports": f"SELECT path, array_to_string({_EXPORTS}, ',') AS exports FROM {_FILES}",
     "src_plain_functions": f"SELECT path, unnest({_FUNCTIONS}) AS name FROM {_FILES}",
+    "src_dependencies": rf"""WITH n AS (SELECT path, content, {_NAMES} AS named FROM {_FILES}),
+        r AS (SELECT path, content, named, list_distinct(list_filter(list_transform({_LIST('content')}, lambda x: regexp_extract(x, '^[^.]*?(\w+)\.', 1)), lambda x: x <> '' AND NOT list_contains(named, x))) AS called FROM n),
+        a AS (SELECT path, named, called, list_distinct(list_filter(regexp_extract_all(content, 'await (\w+)\.', 1), lambda x: NOT list_contains(named, x) AND NOT list_contains(called, x))) AS awaited FROM r)
+        SELECT path, 'Import' AS kind, unnest(named) AS target, 0.8::DOUBLE AS strength FROM a UNION ALL SELECT path, 'FunctionCall', unnest(called), 0.6 FROM a UNION ALL SELECT path, 'FunctionCall', unnest(awaited), 0.7 FROM a""",
+    "src_components": r"""SELECT path, nullif(regexp_extract(content, 'selector:\s*[''"]([^''"]+)[''"]', 1), '') AS selector, array_to_string(regexp_extract_all(content, '@Input\([^)]*\)\s*(?:\w+\s+)*?(\w+)\s*[!?]?\s*[:=;]', 1), ',') AS inputs, array_to_string(regexp_extract_all(content, '@Output\([^)]*\)\s*(?:\w+\s+)*?(\w+)\s*[!?]?\s*[:=;]', 1), ',') AS outputs,
+        array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?m)^[ \t]*(ng(?:OnInit|OnDestroy|OnChanges|DoCheck|AfterContentInit|AfterContentChecked|AfterViewInit|AfterViewChecked))\s*\(', 1))), ',') AS hooks FROM source_files WHERE content IS NOT NULL AND contains(content, '@Component')""",
+    "frag_context": f"WITH f AS (SELECT DISTINCT fragment_id, file_path, line_start, line_end FROM code_fragments WHERE code_content IS NOT NULL AND line_start IS NOT NULL AND line_end IS NOT NULL), l AS (SELECT path, CASE WHEN content = '' THEN [] ELSE {_LIST('content')} END AS ls FROM {_FILES}) SELECT fragment_id, line_start, line_end, md5(coalesce(array_to_string(ls[greatest(line_start - 2, 1):line_end + 2], chr(10)), '')) AS md5 FROM f JOIN l ON l.path = f.file_path",
     "src_dependents": f"SELECT module, count(*) AS dependents, min(path) AS first_path FROM (SELECT path, unnest(list_distinct({_IMPORTS})) AS module FROM {_FILES}) GROUP BY module",
     "src_services": rf"SELECT path, regexp_extract_all(content, '(?m)^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:abstract[ \t]+)?class[ \t]+(\w+)', 1)[1] AS class, {_SCOPE} AS scope, array_to_string(regexp_extract_all(regexp_extract(content, 'constructor\s*\(([^)]*)\)', 1), 'private\s+(?:readonly\s+)?\w+\s*:\s*([\w.<>\[\]]+)', 1), ',') AS constructor_types FROM {_INJECTABLE}",
     "src_guards": rf"SELECT path, {_GUARD} AS name, CASE WHEN contains(content, 'CanActivateFn') THEN 'CanActivate' WHEN contains(content, 'CanDeactivateFn') THEN 'CanDeactivate' WHEN contains(content, 'CanLoadFn') THEN 'CanLoad' WHEN contains(content, 'ResolveFn') THEN 'Resolve' WHEN contains(content, 'CanMatchFn') THEN 'CanMatch' ELSE 'CanActivate' END AS kind, array_to_string(list_transform(regexp_extract_all(content, 'inject\(([^)\n]*)\)', 1), lambda x: trim(x)), ',') AS dependencies FROM {_FILES} AND contains(path, '.guard.')",
