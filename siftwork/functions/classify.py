@@ -167,3 +167,20 @@ def layered_confidence(content: Column) -> Column:
     d = count_of(content, "import") + count_of(content, "export")
     conf = F.when((c <= 5) & (d <= 10), 0.9).when((c <= 15) & (d <= 20), 0.6).otherwise(0.3)
     return F.struct(c.alias("complexity"), d.alias("dependencies"), conf.alias("confidence"))
+
+
+#: What shows a section in a file of a type.
+SECTIONS = {
+    "Component": {"@Component": "Component decorator", "ngOnInit": "OnInit lifecycle", "ngOnDestroy": "OnDestroy lifecycle"},
+    "Service": {"@Injectable": "Injectable service", "HttpClient": "HTTP client usage"},
+    "Style": {"@media": "Media queries", "@mixin": "SCSS mixins"},
+    "Pipe": {"@Pipe": "Pipe decorator", "PipeTransform": "PipeTransform interface", "pure: false": "Impure pipe", "standalone: true": "Standalone pipe"},
+}
+
+
+def relevant_sections(kind: Column, content: Column) -> Column:
+    """The labels of the sections that a file of this type has."""
+    out = F.array().cast("array<string>")
+    for k, signs in reversed(SECTIONS.items()):
+        out = F.when(kind == k, F.array_compact(F.array(*[F.when(F.contains(content, F.lit(s)), label) for s, label in signs.items()]))).otherwise(out)
+    return out

@@ -136,6 +136,12 @@ def src_summary(spark, folder):
     return _files(spark, folder).select("path", said.alias("summary"))
 
 
+def src_sections(spark, folder):
+    """Sections of each file by its type, and how many test suites and cases it declares."""
+    kind = C.content_type(p(), c())
+    return _files(spark, folder).select("path", F.array_join(C.relevant_sections(kind, c()), ",").alias("sections"), N.count_of(c(), "describe(").cast("long").alias("suites"), N.count_of(c(), "#[test]").cast("long").alias("cases"))
+
+
 def src_layered(spark, folder):
     """The first tier of a layered analysis: confident enough, or left to the next."""
     r = _files(spark, folder).select("path", C.layered_confidence(c()).alias("r"))
@@ -283,6 +289,7 @@ ORACLES = {
     "src_guards": rf"SELECT path, {_GUARD} AS name, CASE WHEN contains(content, 'CanActivateFn') THEN 'CanActivate' WHEN contains(content, 'CanDeactivateFn') THEN 'CanDeactivate' WHEN contains(content, 'CanLoadFn') THEN 'CanLoad' WHEN contains(content, 'ResolveFn') THEN 'Resolve' WHEN contains(content, 'CanMatchFn') THEN 'CanMatch' ELSE 'CanActivate' END AS kind, array_to_string(list_transform(regexp_extract_all(content, 'inject\(([^)\n]*)\)', 1), lambda x: trim(x)), ',') AS dependencies FROM {_FILES} AND contains(path, '.guard.')",
     "src_layered": f"SELECT path, c AS complexity, d AS dependencies, k AS confidence, CASE WHEN k >= 0.8 THEN 'static' ELSE 'next' END AS tier FROM (SELECT *, CASE WHEN c <= 5 AND d <= 10 THEN 0.9::DOUBLE WHEN c <= 15 AND d <= 20 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS k FROM (SELECT path, CASE WHEN NOT {_HAS('content', 'if', 'for', 'while')} THEN 1 WHEN {_N('content', 'if')} > 3 OR {_N('content', 'for')} > 2 THEN 10 ELSE 5 END::BIGINT AS c, {_N('content', 'import')} + {_N('content', 'export')} AS d FROM {_FILES}))",
     "src_summary": f"SELECT path, {_CONTENT_TYPE} || ' with ' || len({_FUNCTIONS}) || ' functions, ' || len({_IMPORTS}) || ' imports, ' || len({_EXPORTS}) || ' exports, ' || {_LINES('content')} || ' lines' AS summary FROM {_FILES}",
+    "src_sections": f"SELECT path, CASE {_CONTENT_TYPE} " + " ".join(f"WHEN '{k}' THEN concat_ws(',', " + ", ".join(f"CASE WHEN contains(content, '{s}') THEN '{label}' END" for s, label in signs.items()) + ")" for k, signs in C.SECTIONS.items()) + f" ELSE '' END AS sections, {_N('content', 'describe(')} AS suites, {_N('content', '#[test]')} AS cases FROM {_FILES}",
     "src_styles": rf"SELECT path, len(list_distinct(regexp_extract_all(content, '(--[\w-]+)[ \t]*:', 1))) AS custom_properties, array_to_string(regexp_extract_all(content, '(?m)^[ \t]*(\$[^:\s]+)[ \t]*:', 1), ',') AS variables, array_to_string(regexp_extract_all(content, '(?m)^[ \t]*@mixin ([^\s(]+)', 1), ',') AS mixins FROM {_FILES} AND {_EXT} IN ('css', 'scss')",
     "frag_tokens": rf"SELECT fragment_id, array_to_string(list_filter(regexp_split_to_array(code_content, '[ \t\n\v\f\r]+'), lambda w: strlen(w) > 2)[:50], ' ') AS tokens FROM {_FRAGMENTS}",
     "frag_preprocess": f"SELECT fragment_id, md5(array_to_string(list_filter(list_transform({_LIST('code_content')}, lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '/*')), chr(10))) AS md5 FROM {_FRAGMENTS}",
