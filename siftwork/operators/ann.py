@@ -7,7 +7,7 @@ operations on the vectors' table alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.vectors import METRICS
+from siftwork.runtime import keep, spread
 
 #: The factors of the planes' formula (see ``planes``).
 PLANE_FACTORS = (7919, 104729, 1299709, 1103515245, 12345)
 TABLES, BITS = 12, 5
 #: Queries that go to every task as one matrix; more are joined.
 MATRIX_QUERIES = 4096
+#: Vectors that go to every task as one matrix when all are compared with all; more take several passes.
+SLICE = 65_536
+#: Rows and columns of a block of similarities, and what float accuracy may be off.
+BLOCK, WIDTH, OFF = 512, 4096, 1e-5
 #: A search gives at most so many rows, whatever is asked for.
 MOST_RESULTS = 50
 
@@ -181,6 +186,123 @@ def similar_pairs(vectors: DataFrame, dim: int, threshold: float, strict: bool =
     return scored.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
 
 
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    x = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros(x.shape), where=n > 0)
+
+
+Scan = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def scan_least(threshold: float) -> Scan:
+    """Rows, columns and cosines of all unit vectors ``x`` and ``y`` of cosine ``threshold`` and more. ``narrow``: ``y`` as floats."""
+
+    def scan(x: np.ndarray, y: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        few = x.astype(np.float32)
+        for start in range(0, len(y), WIDTH):
+            s = few @ narrow[start : start + WIDTH].T
+            r, c = np.divmod(np.flatnonzero(s >= threshold - OFF), s.shape[1])
+            rows.append(r)
+            columns.append(start + c)
+        r, c = np.concatenate(rows), np.concatenate(columns)
+        score = np.clip(np.einsum("nd,nd->n", x[r], y[c]), -1, 1)
+        hit = score >= threshold
+        return r[hit], c[hit], score[hit]
+
+    return scan
+
+
+def scan_top(k: int) -> Scan:
+    """As ``scan_least`` for the ``k`` greatest cosines of each row, with all that equal the last of them."""
+
+    def best(r: np.ndarray, s: np.ndarray, floor: np.ndarray, off: float) -> np.ndarray:
+        order = np.lexsort((-s, r))
+        nth = np.arange(len(r)) - np.searchsorted(r[order], r[order])
+        last = order[nth == k - 1]
+        floor[r[last]] = s[last]
+        return np.flatnonzero(s >= floor[r] - off)
+
+    def scan(x: np.ndarray, y: np.ndarray, narrow: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        few, floor = x.astype(np.float32), np.full(len(x), -3, np.float32)
+        r, c, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        for start in range(0, len(y), WIDTH):
+            s = few @ narrow[start : start + WIDTH].T
+            if not start and s.shape[1] > k:
+                floor = np.partition(s, -k, axis=1)[:, -k].copy()
+            at = np.flatnonzero(s >= (floor - OFF)[:, None])
+            more = np.divmod(at, s.shape[1])
+            r, c, v = np.concatenate([r, more[0]]), np.concatenate([c, start + more[1]]), np.concatenate([v, s.ravel()[at]])
+            left = best(r, v, floor, OFF)
+            r, c, v = r[left], c[left], v[left]
+        score = np.clip(np.einsum("nd,nd->n", x[r], y[c]), -1, 1)
+        left = best(r, score, np.full(len(x), -3.0), 1e-12)
+        return r[left], c[left], score[left]
+
+    return scan
+
+
+def against_all(asked: DataFrame, entries: DataFrame, dim: int, scan: Scan, once: bool = False, slice_size: int = SLICE) -> DataFrame:
+    """``a, b, score``: what ``scan`` finds for each vector of ``asked`` (``id``, ``v``) among all of ``entries``. Exact: no index, nothing is left out.
+
+    ``entries`` go to the tasks in slices of about ``slice_size``, one pass over ``asked`` for each, so that driver and tasks
+    hold one slice at a time; the work is the product of both counts. ``scan_top`` finds its best in each slice.
+    With ``once``, ``asked`` being ``entries``, each pair comes once and no vector with itself.
+    """
+    spark = entries.sparkSession
+    n = entries.count()
+    slices = max(1, -(-n // slice_size))
+    place = F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice")
+    entries = keep(entries.select("id", "v", place), "entries")
+    asked = spread(entries if once else keep(asked.select("id", "v", place), "asked"))
+    kinds = ", ".join(f"{c} {df.schema['id'].dataType.simpleString()}" for c, df in (("a", asked), ("b", entries)))
+    parts = []
+    for nth in range(slices):
+        held = entries.where(F.col("slice") == nth).select("id", "v").toArrow().combine_chunks()
+        if not held.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((held.column("id").combine_chunks(), _units(held.column("v").combine_chunks(), dim)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, nth=nth) -> Iterator[pa.RecordBatch]:
+            names, y = shared.value
+            narrow = y.astype(np.float32)
+            for whole in batches:
+                for start in range(0, whole.num_rows, BLOCK):
+                    b = whole.slice(start, BLOCK)
+                    r, c, score = scan(_units(b.column("v"), dim), y, narrow)
+                    at = pa.array(r)
+                    same = np.asarray(b.column("slice"))[r] == nth
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(at), names.take(pa.array(c)), pa.array(score), pa.array(same)], names=["a", "b", "score", "same"])
+
+        rows = asked.where(F.col("slice") >= nth) if once else asked
+        found = rows.mapInArrow(run, f"{kinds}, score double, same boolean")
+        parts.append(keep((found.where(~F.col("same") | (F.col("a") < F.col("b"))) if once else found).drop("same"), "pass"))
+        shared.destroy()
+    if not parts:
+        return spark.createDataFrame([], f"{kinds}, score double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def all_similar_pairs(vectors: DataFrame, dim: int, threshold: float, strict: bool = True, slice_size: int = SLICE) -> DataFrame:
+    """``a, b, score`` (a < b) of all pairs whose cosine exceeds (or reaches) the threshold: the exact form of ``similar_pairs``.
+
+    Equal vectors are one class, compared once. Vectors are of ``dim`` numbers, not all zero; null ids name no entry.
+    """
+    members = keep(vectors.where("id IS NOT NULL").select("id", "v", F.xxhash64("v").alias("class_a"), F.xxhash64(F.lit(1), "v").alias("class_b")), "members")
+    key = F.struct("class_a", "class_b")
+    classes = members.groupBy("class_a", "class_b").agg(F.first("v").alias("v")).select(key.alias("id"), "v")
+    found = against_all(classes, classes, dim, scan_least(threshold), once=True, slice_size=slice_size)
+    found = found.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
+    x, y = (members.select(key.alias(name), F.col("id").alias(f"{name}_id")) for name in "ab")
+    other = found.join(x, "a").join(y, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score")
+    same = x.join(y, F.col("a") == F.col("b")).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.lit(1.0).alias("score"))
+    return other.unionByName(same) if threshold < 1 or not strict else other
+
+
 def combined_score(similarity: Column, rerank: Column) -> Column:
     return similarity * 0.4 + rerank * 0.6
 

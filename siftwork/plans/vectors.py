@@ -10,7 +10,7 @@ from siftwork.operators import ann, clusters
 from siftwork.runtime import table
 
 DIM, TOP = 64, 10
-#: Bits of a bucket for joins of all entries with all: a bucket then has about a four-thousandth of them.
+#: Bits of a bucket in the SQL of the pairs; the queries themselves compare all entries.
 PAIR_BITS = 12
 
 
@@ -98,18 +98,18 @@ def vec_ann_topk(spark, folder):
 
 
 def vec_duplicate_pairs(spark, folder):
-    """Pairs of entries of cosine above 0.9 that share a bucket."""
-    return ann.similar_pairs(_entries(spark, folder), DIM, 0.9, bits=PAIR_BITS).select("a", "b", F.round("score", 5).alias("score"))
+    """All pairs of entries of cosine above 0.9. The SQL of the same name has only those that share a bucket."""
+    return ann.all_similar_pairs(_entries(spark, folder), DIM, 0.9).select("a", "b", F.round("score", 5).alias("score"))
 
 
 def vec_semantic_duplicates(spark, folder):
-    """Pairs of entries of cosine 0.8 and more that share a bucket."""
-    return ann.similar_pairs(_entries(spark, folder), DIM, 0.8, strict=False, bits=PAIR_BITS).select("a", "b", F.round("score", 5).alias("score"))
+    """All pairs of entries of cosine 0.8 and more. The SQL of the same name has only those that share a bucket."""
+    return ann.all_similar_pairs(_entries(spark, folder), DIM, 0.8, strict=False).select("a", "b", F.round("score", 5).alias("score"))
 
 
 def vec_leader_clusters(spark, folder):
     v = _entries(spark, folder)
-    return clusters.leader_clusters(v, ann.similar_pairs(v, DIM, 0.75, bits=PAIR_BITS))
+    return clusters.leader_clusters(v, ann.all_similar_pairs(v, DIM, 0.75))
 
 
 def vec_cluster_sizes(spark, folder):

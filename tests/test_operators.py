@@ -45,6 +45,34 @@ def test_exact_and_approximate_topk(spark):
     assert [r["id"] for r in near.collect()] == [4]
 
 
+@pytest.mark.parametrize(("threshold", "slice_size"), [(0.9, 1000), (0.75, 130)])
+def test_all_similar_pairs_equal_brute_force(spark, threshold, slice_size):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(150, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * rng.uniform(0.2, 0.9, (150, 1)), base[:20], base[:3]])
+    v = dict(enumerate(x))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a in v for b in v if a < b and u[a] @ u[b] > threshold}
+    got = [(r["a"], r["b"]) for r in ann.all_similar_pairs(vectors(spark, v), 64, threshold, slice_size=slice_size).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # buckets lose some of them
+    assert {(r["a"], r["b"]) for r in ann.similar_pairs(vectors(spark, v), 64, threshold, bits=12).collect()} < want
+
+
+def test_pair_queries_equal_brute_force(spark, tmp_path):
+    from siftwork.plans import vectors as P
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(120, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.6]).astype(np.float32)
+    rows = [(f"v{n:03d}", [float(e) for e in e], 1) for n, e in enumerate(x)] + [(None, [1.0] * 64, 1), ("v000", None, 0)]
+    spark.createDataFrame(rows, "id string, embedding array<float>, updated_at long").write.parquet(f"{tmp_path}/vectors.parquet")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(f"v{a:03d}", f"v{b:03d}") for a in range(240) for b in range(a + 1, 240) if u[a] @ u[b] >= 0.8}
+    got = {(r["a"], r["b"]) for r in P.vec_semantic_duplicates(spark, str(tmp_path)).collect()}
+    assert len(want) > 60 and got == want
+
+
 def sequential_leaders(n, edges):
     leader = {}
     for i in range(n):
