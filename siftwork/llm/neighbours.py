@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwork.operators import ann
 from siftwork.runtime import keep
 
 #: Vectors of the sample that centroids and graph are fitted on, at most, and for each centroid.
@@ -29,6 +30,8 @@ SAMPLE, FOR_EACH = 262_144, 32
 LIST_SIZE, CENTROIDS = 1000, 32_768
 #: Lists of a vector at most, and how much farther than the nearest a centroid may be.
 LISTS, RATIO = 4, 1.15
+#: The cosine that a search without ``min_cosine`` uses the lists for: what is less alike is too seldom in a common list.
+NEAR = 0.85
 #: The least difference to the nearest centroid's distance that is allowed, as a share of the farthest neighbour's distance.
 SLACK = 0.25
 
@@ -215,12 +218,26 @@ def class_neighbours(entries: DataFrame, graph: CentroidGraph, dim: int, k: int,
     return once.withColumn("__n", rank).where(F.col("__n") <= k).drop("__n")
 
 
-def neighbours(df: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: int = 64, lists: int = LISTS, ratio: float = RATIO, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
-    """``id``, ``neighbour``, ``cosine``, ``rank``: for every current entry its ``k`` most similar entries of at least ``min_cosine``.
+def all_class_neighbours(entries: DataFrame, near: DataFrame, dim: int, k: int) -> DataFrame:
+    """As ``class_neighbours`` without a least cosine: ``near`` for the classes that have ``k`` there, and for all others the ``k`` most similar of all classes, by comparing them with every one."""
+    key = F.struct("class_a", "class_b")
+    classes = keep(entries.groupBy("class_a", "class_b").agg(F.first("embedding").alias("v")).select(key.alias("id"), "v"), "classes")
+    full = near.groupBy(F.struct(F.col("a_a").alias("class_a"), F.col("a_b").alias("class_b")).alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
+    # one more, as each finds itself
+    found = ann.against_all(classes.join(full, "id", "left_anti"), classes, dim, ann.scan_top(k + 1)).where("a <> b")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
+    found = found.withColumn("n", rank).where(F.col("n") <= k).select(F.col("a.class_a").alias("a_a"), F.col("a.class_b").alias("a_b"), F.col("b.class_a").alias("b_a"), F.col("b.class_b").alias("b_b"), F.col("score").alias("cosine"))
+    kept = near.join(full.select("id.*").withColumnsRenamed({"class_a": "a_a", "class_b": "a_b"}), ["a_a", "a_b"], "left_semi")
+    return kept.unionByName(found)
+
+
+def neighbours(df: DataFrame, k: int = 5, min_cosine: float | None = 0.85, dim: int = 64, lists: int = LISTS, ratio: float = RATIO, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+    """``id``, ``neighbour``, ``cosine``, ``rank``: for every current entry its ``k`` most similar entries of at least ``min_cosine``; with None its ``k`` most similar, however far.
 
     Ties are ranked by the neighbour's id. Equal vectors are each other's first neighbours; of a class of equal
     vectors only the ``k + 1`` least ids can be anyone's neighbour, so a class of any size adds ``k`` rows for each of its
     members. The search is approximate: a pair is missed if no list holds both (see the README for the recall measured).
+    With None, entries for which the lists don't give ``k`` of NEAR and more are compared with all, exactly.
     Unusable vectors, null ids: see ``current_entries``. An empty table gives an empty result; other columns aren't read.
     """
     out = "id string, neighbour string, cosine double, rank int"
@@ -228,7 +245,11 @@ def neighbours(df: DataFrame, k: int = 5, min_cosine: float = 0.85, dim: int = 6
     if graph is None:
         return df.sparkSession.createDataFrame([], out)
     entries = current_entries(df, dim)
-    classes = keep(class_neighbours(entries, graph, dim, k, min_cosine, lists, ratio), "neighbours")
+    if min_cosine is None:
+        entries = keep(entries, "entries")
+    classes = keep(class_neighbours(entries, graph, dim, k, NEAR if min_cosine is None else min_cosine, lists, ratio), "neighbours")
+    if min_cosine is None:
+        classes = keep(all_class_neighbours(entries, classes, dim, k), "neighbours")
     members = current_entries(df, dim, vectors=False)
     place = F.row_number().over(Window.partitionBy("class_a", "class_b").orderBy("id"))
     targets = members.withColumn("__n", place).where(F.col("__n") <= k + 1).drop("__n").select(F.col("class_a").alias("b_a"), F.col("class_b").alias("b_b"), F.col("id").alias("neighbour"))

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    found = neighbours.neighbours(table(spark, folder, "vectors"))
+    found = neighbours.neighbours(table(spark, folder, "vectors"), min_cosine=None)
     return found.select("id", "neighbour", F.round("cosine", 5).alias("cosine"), "rank")
 
 

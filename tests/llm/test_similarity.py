@@ -48,6 +48,33 @@ def test_recall_and_ranks(spark):
     assert len(pairs) > 1000 and len(pairs & found) / len(pairs) >= 0.97
 
 
+def test_every_entry_has_its_nearest_however_far(spark, tmp_path):
+    from siftwork.llm import queries
+
+    rng = np.random.default_rng(4)
+    v = groups(rng, 300, 64, 1.0) | {f"c{n}": np.arange(64) - 20.0 for n in range(4)} | {f"w{n}": rng.normal(size=64) for n in range(60)}
+    table(spark, [(i, x, 2) for i, x in v.items()] + [("w0", None, 1), ("z", None, 1)]).write.parquet(f"{tmp_path}/vectors.parquet")
+    got = {}
+    for r in queries.p1_neighbours(spark, str(tmp_path)).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    want = brute(v, 5, -1)
+    assert set(got) == set(v) and all(len(js) == 5 for js in got.values())
+    assert sum(len(set(want[i]) & set(got[i])) for i in v) >= 0.995 * 5 * len(v)
+    # fewer entries than asked for, one pass for each small slice
+    few = table(spark, [(i, v[i], 1) for i in list(v)[:4]])
+    assert neighbours.neighbours(few, 5, None, 64).count() == 12
+    entries = neighbours.current_entries(table(spark, [(i, x, 1) for i, x in v.items()]), 64)
+    vectors = entries.select("id", entries.embedding.alias("v"))
+    from siftwork.operators import ann
+
+    found = ann.against_all(vectors, vectors, 64, ann.scan_top(6), slice_size=50)
+    assert found.where("a = b").count() == len(v)
+    best = {}
+    for r in found.where("a <> b").collect():
+        best.setdefault(r["a"], []).append((-round(r["score"], 9), r["b"]))
+    assert {i: [j for _, j in sorted(js)[:5]] for i, js in best.items()} == want
+
+
 def test_current_rows_and_unusable_vectors(spark):
     a = [1.0, 0, 0, 0]
     rows = [("a", [0, 1, 0, 0], 1), ("a", a, 3), ("a", a, 3), ("b", a, 1), ("b", None, 2), ("c", [1, 0.01, 0, 0], 1), ("d", [0, 0, 0, 0], 1), ("e", [1, 0], 1), ("f", [1, float("nan"), 0, 0], 1), ("g", [1, float("inf"), 0, 0], 1), ("h", [1, None, 0, 0], 1), (None, a, 1)]
