@@ -20,6 +20,8 @@ from siftwork.runtime import keep, spread
 #: The factors of the planes' formula (see ``planes``).
 PLANE_FACTORS = (7919, 104729, 1299709, 1103515245, 12345)
 TABLES, BITS = 12, 5
+#: Buckets of each table that an approximate search looks into: its own and those across the nearest planes.
+PROBES = 10
 #: Queries that go to every task as one matrix; more are joined.
 MATRIX_QUERIES = 4096
 #: Vectors that go to every task as one matrix when all are compared with all; more take several passes.
@@ -40,22 +42,31 @@ def planes(dim: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
     return x / float(1 << 31) - 0.5
 
 
-def signatures(df: DataFrame, id_col: str, vector_col: str, dim: int, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+def signatures(df: DataFrame, id_col: str, vector_col: str, dim: int, tables: int = TABLES, bits: int = BITS, probes: int = 1) -> DataFrame:
     """``id, table_id INT, bucket LONG``: bit i of a table's bucket tells on which side of its i-th plane the vector lies.
 
+    With ``probes`` over 1 so many buckets of each table: its own, then those whose other bits have the least sum of
+    squared distances to their planes.
+
     Vectors that are null, of another dimension or hold a null have no signature. One matrix product for each Arrow batch.
     """
     p = planes(dim, tables, bits).reshape(tables * bits, dim).T
     weights = (1 << np.arange(bits, dtype=np.int64))[None, None, :]
+    probes = min(probes, 1 << bits)
+    flips = np.arange(1 << bits if probes > 1 else 1, dtype=np.int64)
+    flipped = (flips[:, None] >> np.arange(bits) & 1).astype(np.float64).T
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.asarray(b.column("__v").flatten(), dtype=np.float64).reshape(-1, dim)
-            side = (x @ p >= 0).reshape(len(x), tables, bits)
-            bucket = (side * weights).sum(2).ravel()
-            at = pa.array(np.repeat(np.arange(len(x)), tables))
-            yield pa.RecordBatch.from_arrays([b.column("__id").take(at), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(bucket)], names=["id", "table_id", "bucket"])
+            off = (x @ p).reshape(len(x), tables, bits)
+            bucket = ((off >= 0) * weights).sum(2)
+            if probes > 1:
+                least = np.argsort(off**2 @ flipped, axis=2, kind="stable")[:, :, :probes]
+                bucket = bucket[:, :, None] ^ flips[least]
+            at = pa.array(np.repeat(np.arange(len(x)), tables * probes))
+            yield pa.RecordBatch.from_arrays([b.column("__id").take(at), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), len(x))), pa.array(bucket.ravel())], names=["id", "table_id", "bucket"])
 
     whole = df.where((F.size(vector_col) == dim) & F.forall(vector_col, lambda v: v.isNotNull()))
     return whole.select(F.col(id_col).alias("__id"), F.col(vector_col).alias("__v")).mapInArrow(run, f"id {kind}, table_id int, bucket long")
@@ -167,10 +178,10 @@ def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", n.cast("long")).where(F.col("rank") <= k)
 
 
-def approximate_topk(vectors: DataFrame, queries: DataFrame, dim: int, k: int, least: float = 0.7, tables: int = TABLES, bits: int = BITS) -> DataFrame:
-    """As ``exact_topk`` by cosine among the candidates that share a bucket, of at least ``least``, at most MOST_RESULTS."""
+def approximate_topk(vectors: DataFrame, queries: DataFrame, dim: int, k: int, least: float = 0.7, tables: int = TABLES, bits: int = BITS, probes: int = PROBES) -> DataFrame:
+    """As ``exact_topk`` by cosine among the candidates in the ``probes`` buckets of each table that are nearest to the query, of at least ``least``, at most MOST_RESULTS."""
     index = signatures(vectors, "id", "v", dim, tables, bits)
-    asked = signatures(queries, "query", "qv", dim, tables, bits)
+    asked = signatures(queries, "query", "qv", dim, tables, bits, probes)
     pairs = candidates(index, asked).where("query <> id").select(F.col("query").alias("a"), F.col("id").alias("b"))
     scored = score_pairs(pairs.join(vectors.select(F.col("id").alias("b"), F.col("v").alias("bv")), "b").join(queries.select(F.col("query").alias("a"), F.col("qv").alias("av")), "a"), dim)
     return top_per(scored.where(F.col("score") >= least).withColumnsRenamed({"a": "query", "b": "id"}), "query", min(k, MOST_RESULTS))

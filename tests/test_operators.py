@@ -45,6 +45,15 @@ def test_exact_and_approximate_topk(spark):
     assert [r["id"] for r in near.collect()] == [4]
 
 
+def test_approximate_topk_finds_nine_of_ten(spark):
+    rng = np.random.default_rng(8)
+    df = vectors(spark, dict(enumerate(rng.normal(size=(1500, 64)))))
+    q = df.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    want = {(r["query"], r["id"]) for r in ann.exact_topk(df, q, 10, "cosine", 0.3).collect()}
+    got = {(r["query"], r["id"]) for r in ann.approximate_topk(df, q, 64, 10, least=0.3).collect()}
+    assert len(want) > 500 and len(want & got) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize(("threshold", "slice_size"), [(0.9, 1000), (0.75, 130)])
 def test_all_similar_pairs_equal_brute_force(spark, threshold, slice_size):
     rng = np.random.default_rng(5)
