@@ -29,7 +29,9 @@ SAMPLE, FOR_EACH = 262_144, 32
 #: Vectors for each list that are aimed at, and centroids at most (8 MB of 64 numbers, which a task holds).
 LIST_SIZE, CENTROIDS = 1000, 32_768
 #: Lists of a vector at most, and how much farther than the nearest a centroid may be.
-LISTS, RATIO = 4, 1.15
+LISTS, RATIO = 5, 1.15
+#: Centroids up to which the walk on the graph finds nearly all nearest ones; among more, all are compared, which costs no more.
+WALKED = 1024
 #: The cosine that a search without ``min_cosine`` uses the lists for: what is less alike is too seldom in a common list.
 NEAR = 0.85
 #: The least difference to the nearest centroid's distance that is allowed, as a share of the farthest neighbour's distance.
@@ -93,29 +95,52 @@ class CentroidGraph:
     def nearest(self, x: np.ndarray, k: int, beam: int = 24, hops: int | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """For each row the ``k`` nearest centroids that the walk finds, nearest first, and their cosines.
 
-        Of the ``beam`` best that a row has seen, each hop opens the ``width`` best that aren't open yet.
+        Of the ``beam`` best that a row has seen, each hop opens the ``width`` best that aren't open yet, until all are
+        open (or for ``hops``). Among more than WALKED centroids even that misses many, so there all are compared.
         """
+        if hops is None and len(self.centroids) > WALKED:
+            return self.nearest_of_all(x, k)
         beam = max(beam, k)
-        hops = hops or (6 if len(self.centroids) <= 1024 else 8)
         hub_sims = x @ self.centroids[self.hubs].T
         first = min(beam, len(self.hubs))
         top = np.argpartition(-hub_sims, first - 1, axis=1)[:, :first]
-        ids, sims = self.hubs[top], np.take_along_axis(hub_sims, top, 1)
-        opened = np.zeros(ids.shape, bool)
-        for _ in range(hops if self.links.shape[1] else 0):
-            closed = np.where(opened, -3, sims)
-            best = np.argpartition(-closed, min(width, closed.shape[1]) - 1, axis=1)[:, :width]
-            np.put_along_axis(opened, best, True, 1)
-            more = self.links[np.take_along_axis(ids, best, 1)].reshape(len(x), -1)
-            found = np.matmul(self.centroids[more], x[:, :, None])[:, :, 0]
-            ids, sims = np.concatenate([ids, more], 1), np.concatenate([sims, found], 1)
-            opened = np.concatenate([opened, np.zeros(more.shape, bool)], 1)
+        ids, sims = np.full((len(x), beam), self.hubs[0]), np.full((len(x), beam), -2, np.float32)
+        ids[:, :first], sims[:, :first] = self.hubs[top], np.take_along_axis(hub_sims, top, 1)
+        opened = sims < -1.5
+        going, hop = np.arange(len(x) if self.links.shape[1] else 0), 0
+        while len(going) and (hops is None or hop < hops):
+            hop += 1
+            i, s, o = ids[going], sims[going], opened[going]
+            closed = np.where(o, -3, s)
+            best = np.argpartition(-closed, min(width, beam) - 1, axis=1)[:, :width]
+            np.put_along_axis(o, best, True, 1)
+            more = self.links[np.take_along_axis(i, best, 1)].reshape(len(going), -1)
+            found = np.matmul(self.centroids[more], x[going][:, :, None])[:, :, 0]
+            i, s, o = np.concatenate([i, more], 1), np.concatenate([s, found], 1), np.concatenate([o, np.zeros(more.shape, bool)], 1)
             # of what was seen twice, the one that is open stays
-            order = np.argsort(ids.astype(np.int64) * 2 + ~opened, axis=1)
-            ids, sims, opened = (np.take_along_axis(v, order, 1) for v in (ids, sims, opened))
-            sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2
-            top = np.argpartition(-sims, min(beam, sims.shape[1]) - 1, axis=1)[:, :beam]
-            ids, sims, opened = (np.take_along_axis(v, top, 1) for v in (ids, sims, opened))
+            order = np.argsort(i.astype(np.int64) * 2 + ~o, axis=1)
+            i, s, o = (np.take_along_axis(v, order, 1) for v in (i, s, o))
+            twice = i[:, 1:] == i[:, :-1]
+            s[:, 1:][twice], o[:, 1:][twice] = -2, True
+            top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+            ids[going], sims[going], opened[going] = (np.take_along_axis(v, top, 1) for v in (i, s, o))
+            # a row goes on as long as it has seen something among its best that isn't open
+            going = going[~opened[going].all(1)]
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
+
+    def nearest_of_all(self, x: np.ndarray, k: int, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """As ``nearest``, among all centroids: the nearest are in the ``k`` groups of the greatest maxima."""
+        n = len(self.centroids)
+        groups = -(-n // group)
+        s = np.full((len(x), groups * group), -2, np.float32)
+        np.matmul(x, self.centroids.T, out=s[:, :n])
+        s = s.reshape(len(x), groups, group)
+        most = min(k, groups)
+        best = np.argpartition(-s.max(2), most - 1, axis=1)[:, :most]
+        ids = (best[:, :, None] * group + np.arange(group)).reshape(len(x), -1)
+        sims = np.take_along_axis(s, best[:, :, None], 1).reshape(len(x), -1)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 

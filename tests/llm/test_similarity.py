@@ -108,6 +108,19 @@ def test_graph_finds_near_centroids():
     assert (np.diff(sims, axis=1) <= 1e-6).all()
 
 
+def test_nearest_centroids_among_many():
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(5000, 64)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = c[:400] + rng.normal(size=(400, 64)).astype(np.float32) * 0.15
+    for some, least in ((c, 1.0), (c[:900], 0.95), (c[:3], 1.0), (c[:1], 1.0)):
+        k = min(neighbours.LISTS, len(some))
+        ids, sims = neighbours.CentroidGraph.build(some).nearest(x, k)
+        exact = np.argsort(-(x @ some.T), axis=1)[:, :k]
+        assert np.mean([len(set(a) & set(b)) for a, b in zip(ids, exact)]) / k >= least
+        assert ids.shape == (400, k) and (np.diff(sims, axis=1) <= 1e-6).all()
+
+
 def runs_of(text, run):
     import re
 
