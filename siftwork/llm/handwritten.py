@@ -97,10 +97,10 @@ def by_path(path: str | None) -> str | None:
     return None
 
 
-def by_head(content: str, lines: int = 30) -> str | None:
+def by_head(content: str) -> str | None:
     """The signal of a notice in the comments before a file's first code."""
     named = False
-    for line in content.lstrip("﻿ \t\r\n")[:6000].splitlines()[:lines]:
+    for line in content.lstrip("﻿ \t\r\n").splitlines():
         if not line.strip():
             continue
         m = _COMMENT.match(line)
@@ -163,7 +163,9 @@ def by_layout(content: str, language: str | None) -> str | None:
     # rows of records have fewer numbers than plain ones, but hardly any code
     if language != "css" and s["numbers"] > 0.6 * t.numbers and s["code_lines"] < CODE_LINES and s["lines"] >= 3:
         return "numbers"
-    if _SOURCE_MAP.search(content[-400:]):
+    # the last line may hold the whole map
+    end = content.rstrip()
+    if _SOURCE_MAP.search(content, min(max(0, len(content) - 400), max(end.rfind("\n"), end.rfind("\r")) + 1)):
         return "source_map"
     return None
 

@@ -302,3 +302,15 @@ def test_joined_declarations_and_tables(spark):
 def test_odd_input(language):
     for text in ("{" * 3000, "(" * 3000, "'" * 999, "/*" * 500, '"""' * 301, "fn (((", "def f(", "function f(", "a" * 200_000, "class X {" * 50):
         docpairs.symbols(text, language)
+
+
+def test_notices_and_maps_are_found_however_long_the_text():
+    licence = "\n".join(f"// Paragraph {n} of the terms under which this file may be used, copied and changed by anybody." for n in range(120))
+    code = "\n".join(f"export function step{n}(value: number): number {{\n  return value + {n};\n}}" for n in range(6))
+    assert handwritten.by_head(f"{licence}\n// Code generated by protoc-gen-ts. DO NOT EDIT.\n{code}") == "tool_notice"
+    assert handwritten.by_head(f"{licence}\n{code}\n// Code generated by protoc-gen-ts. DO NOT EDIT.") is None
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    body = "\n".join(f"{'  ' * (k % 3)}{w}{' ' + words[-k % 10] if k % 2 else ''}{'.call' * (k % 4)}({', '.join(words[: k % 5])});" for k, w in enumerate(words * 6))
+    mapped = f"{body}\n//# sourceMappingURL=data:application/json;base64,{'eyJ2ZXJzaW9uIjozLCJm' * 24}\n"
+    assert handwritten.by_layout(body, "javascript") is None
+    assert handwritten.by_layout(mapped, "javascript") == "source_map"
