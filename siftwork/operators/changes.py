@@ -4,8 +4,9 @@ The records form a log of keyed events. A key's events lie in one partition, cho
 and carry an offset that rises with each state of the key. A run goes through three steps:
 
 1. ``plan``: the latest state of every key is compared with what the sink holds. The states that
-   differ are written, with partition and offset, as a numbered batch plan, and with them the
-   greatest offset of each partition. Nothing is processed before the plan is complete.
+   differ are written, with partition and offset, as a numbered batch plan. The whole log is
+   compared each time; offsets only serve to order a key's states and to drop repeated ones.
+   Nothing is processed before the plan is complete.
 2. ``apply``: the batch's records are processed from the written plan and appended to the sink, which
    drops every (key, offset) that it holds already.
 3. ``commit``: the batch is marked as done.
