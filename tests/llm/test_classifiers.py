@@ -314,3 +314,15 @@ def test_notices_and_maps_are_found_however_long_the_text():
     mapped = f"{body}\n//# sourceMappingURL=data:application/json;base64,{'eyJ2ZXJzaW9uIjozLCJm' * 24}\n"
     assert handwritten.by_layout(body, "javascript") is None
     assert handwritten.by_layout(mapped, "javascript") == "source_map"
+
+
+def test_long_decorators_types_and_returns_lose_no_function():
+    entries = "\n".join(f"    'key{n}': {n}," for n in range(40))
+    types = ", ".join(f"Type{n} extends Base{n}" for n in range(60))
+    doc = "/** Collects rejected orders before the warehouse closes. */\n"
+    got = found(f"class A {{\n{doc}@Hook({{\n{entries}\n}})\nrun(first: string) {{\n  return first;\n}}\n}}\n", "typescript")
+    assert [described for (name, _), described in got.items() if name == "run"] == [True]
+    got = found(f"{doc}function pick<{types}>(first: Type1) {{\n  return first;\n}}\n", "typescript")
+    assert [described for (name, _), described in got.items() if name == "pick"] == [True]
+    got = found(f"const box = {{\n{doc}choose: (first: string): Map<string, {' | '.join(f'Type{n}' for n in range(60))}> => {{\n  return first;\n}},\n}};\n", "typescript")
+    assert [described for (name, _), described in got.items() if name == "choose"] == [True]
