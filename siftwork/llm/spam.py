@@ -1,16 +1,20 @@
 """Finding pages of strung-together keywords, links and tags.
 
-A text is cut into blocks: runs of neighbouring lines of the same make. Each block is measured by how
-far it compresses, against what a text of its length and script compresses to: keyword lists say the
-same few words again and again, and lists of links and tags repeat one form once the names in them are
-masked. A block counts as strung together if it is extremely redundant by that measure and its
-sentence punctuation is sparse; the document is a case if such blocks hold more than half of its
-characters. Code, configuration and program output are redundant, too, but have a make of their own.
+A text is cut into blocks: runs of neighbouring lines of the same make, a make being no more than where one kind of text ends and
+another begins. Every block, of whatever make, is then judged by the same two measures:
+
+1. How far it compresses, against what an ordinary text of its length and language compresses to. Code, configuration and program
+   output count as a language of their own, as they repeat themselves more than prose does. The names within addresses, link targets
+   and tags are masked first, so that what is left of a list of links is the form that it repeats. A block at least LEAST times as
+   redundant as its language is extreme.
+2. How sparse its sentence punctuation is: end marks that close a stretch with small words in it, for each word. This
+   confirms: a text that merely says the same sentence often has its sentences.
+
+The document is a case if such blocks hold more than half of its characters.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,21 +30,38 @@ from siftwork.runtime import spread
 BLOCK = 4000
 #: Share of a document's characters in strung-together blocks above which it is a case.
 SHARE = 0.5
-#: Redundancy (expected over measured compression) from which a block is extreme, and for links and tags, whose form alone says much.
-REDUNDANT, REDUNDANT_FORM = 1.12, 0.9
-
-#: Frequent small words; sentences have them, keyword lists hardly do.
-SMALL_WORDS = frozenset(
-    """a an the of to in on at by for from with without into over under as is are was were be been being it its this that these those and or but not no nor so if
-    when while which who whose whom what where why how than then there here they them their we our us you your he she his her i my do does did done has have had
-    will would can could should may might must any each every some such only one two all both neither either before after until because whether between per up out off about
-    der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde wenn auf aus bei mit nach von vor zu zur zum im am als wie für über unter nur noch kein keine sich es er sie wir ihr dass
-    el la los las un una unos unas y o pero no es son fue ser se que de del al en con sin por para como más su sus lo este esta estos si cuando hay
-    le les un une des du et ou mais ne pas est sont été être ce cette ces que qui dans sur sous avec sans pour par plus se sa son ses leur lorsque au aux il elle nous vous""".split()
-)
+#: Sentences for each word below which they are sparse.
+SPARSE = 0.035
+#: Signs and digits for each word from which lines that look like code, configuration or output are that, however often they repeat themselves.
+SIGNS = 0.6
+#: Words and lines that a block needs to be measured at all, if no address or tag is in it: of less, nothing can repeat.
+LEAST_WORDS, LEAST_LINES = 8, 3
+
+#: Fixed values, fitted on the training table: what an ordinary block of n bytes of a language compresses to is factor * n ** -power, and how many times more redundant an extreme one is.
+EXPECTED = {"en": (2.86, 0.253), "de": (5.41, 0.367), "es": (5.23, 0.371), "fr": (5.87, 0.392), "ja": (6.75, 0.396), "program": (2.64, 0.225)}
+LEAST = {"en": 1.12, "de": 1.12, "es": 1.12, "fr": 1.12, "ja": 1.12, "program": 3.0}
+
+#: Frequent small words of each language; sentences have them, keyword lists hardly do.
+SMALL_WORDS = {
+    "en": frozenset(
+        """a an the of to in on at by for from with without into over under as is are was were be been being it its this that these those and or but not no nor so if
+        when while which who whom whose what where why how than then there here they them their we our us you your he she his her i my do does did done has have had
+        will would can could shall should may might must any each every some such only one two all both neither either before after until because whether between per up out off about""".split()
+    ),
+    "de": frozenset(
+        """der die das den dem des ein eine einen einem einer und oder aber nicht ist sind war wird werden wurde wenn auf aus bei mit nach von vor zu zur zum im in am an als wie
+        für um über unter nur noch kein keine sich es er sie wir ihr dass""".split()
+    ),
+    "es": frozenset("el la los las un una unos unas y o pero no es son fue ser se que de del al a en con sin por para como más su sus lo este esta estos si cuando hay".split()),
+    "fr": frozenset(
+        """le la les un une des du de et ou mais ne pas est sont été être ce cette ces que qui dans en sur sous avec sans pour par plus se sa son ses leur lorsque au aux il elle nous
+        vous""".split()
+    ),
+}
+_SMALL = frozenset().union(*SMALL_WORDS.values())
 _URL = re.compile(r"(?:https?|ftp)://[^\s<>()\[\]\"']+|www\.[^\s<>()\[\]\"']+", re.I)
 _MD_LINK = re.compile(r"!?\[[^\[\]]*\]\((?:https?://|www\.|/|#)[^()\s]*\)")
-_A_LINK = re.compile(r"<a\b[^>]{0,1000}>.{0,1000}?</a>", re.I | re.S)
+_A_OPENS = re.compile(r"<a\b", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HASHTAG = re.compile(r"(?<![\w&])#\w[\w-]+")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d:\d\d|at \S+ \(|File \"|Traceback|\d+ (?:passed|failed)|\$ |>>> |npm (?:ERR|WARN)|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)")
@@ -54,35 +75,58 @@ _COMMIT = re.compile(r"^\w+\([\w-]+\)!?: ")
 _SENTENCE_END = re.compile(r"[.!?](?=[\s\"')\]]|$)|[。！？]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
+_PARTICLE = re.compile(r"[はがをにのでとも]")
 _LIST_SIGN = re.compile(r"^\s*(?:[-*+•>]|\d+[.)]|#{1,6}|/\*+|//+|<!--)(?:\s+|$)|^\s*\*+/\s*$")
 _JSON_WORDS = re.compile(r"\"(?:keywords|tags|topics|categories)\"\s*:\s*\[((?:\s*\"[^\"]*\"\s*,?)*)")
 _NAMED_LIST = re.compile(r"^\s*(?:tags?|keywords?|labels?|topics?|schlagw(?:orte|örter)|etiquetas|mots-clés|categories)\s*:", re.I)
-_STRUNG_TOKEN = re.compile(r"^[^\W\d_]*\w*(?:[-_.+/][\w]+)+$")
+#: Words strung by signs; which of them has a sign is looked for apart, so that no text is matched in two ways.
+_STRUNG_TOKEN = re.compile(r"^\w*(?:[-.+/]\w+)*$")
+_SIGN = re.compile(r"[-_.+/]")
+_SIGNS = re.compile(r"[\d(){}\[\]=<>;:_\"'|&$@\\]")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
+_PROGRAM_LINE = re.compile(r"^\s*(?:import|export|from|const|let|var|return|\"|')")
+_COMMENT_LINE = re.compile(r"^\s*(?://|/\*|\s\*|#!)")
 
 
 def _small_share(words: list[str]) -> float:
-    return sum(w.lower() in SMALL_WORDS for w in words) / max(1, len(words))
+    return sum(w.lower() in _SMALL for w in words) / max(1, len(words))
+
+
+def _without_anchors(text: str) -> str:
+    """The text without its ``<a ...>...</a>``, however long they are, in one pass."""
+    if "<" not in text:
+        return text
+    low, out, at = text.lower(), [], 0
+    for m in _A_OPENS.finditer(text):
+        if m.start() < at:
+            continue
+        end = low.find("</a>", m.end())
+        if end < 0:
+            break
+        out += [text[at : m.start()], " "]
+        at = end + 4
+    return "".join(out) + text[at:]
 
 
 def make_of(line: str) -> str:
-    """``links``, ``tags``, ``words`` (no sentence in it), ``other`` (sentences, code, configuration, output) or ``title``."""
+    """Where a line belongs: ``links``, ``tags``, ``words`` (no sentence in it), ``sentences``, ``program`` (code, configuration, output), ``title`` or ``blank``."""
     body = _LIST_SIGN.sub("", line).strip()
     if not body:
         return "blank"
     if _LOG.match(line):
-        return "other"
-    links = _URL.search(body) or _MD_LINK.search(body) or _A_LINK.search(body)
-    if links:
-        rest = _URL.sub(" ", _A_LINK.sub(" ", _MD_LINK.sub(" ", body)))
+        return "program"
+    bare = _without_anchors(body)
+    if len(bare) < len(body) or _URL.search(body) or _MD_LINK.search(body):
+        rest = _URL.sub(" ", _without_anchors(_MD_LINK.sub(" ", body)))
         rest = _TAG.sub(" ", rest)
         words = _WORD.findall(rest)
         linked = len(body) - len(rest.strip())
-        prose = len(_SENTENCE_END.findall(rest)) and (_small_share(words) > 0.12 or len(_CJK.findall(rest)) > 5)
-        if prose and len(rest.split()) + len(_CJK.findall(rest)) > 4 or _small_share(words) > 0.2 and len(words) > 5:
-            return "other"
-        if re.match(r"^\s*(?:import|export|from|const|let|var|return|\"|')", line) or re.match(r"^\s*(?://|/\*|\s\*|#!)", line) and len(words) > 2 and not _MD_LINK.search(body):
-            return "other"
+        wide = len(_CJK.findall(rest))
+        prose = _SENTENCE_END.search(rest) and (_small_share(words) > 0.12 or wide > 5)
+        if prose and len(rest.split()) + wide > 4 or _small_share(words) > 0.2 and len(words) > 5:
+            return "sentences"
+        if _PROGRAM_LINE.match(line) or _COMMENT_LINE.match(line) and len(words) > 2 and not _MD_LINK.search(body):
+            return "program"
         return "links" if linked * 2 > len(rest.strip()) or len(words) <= 8 else "words"
     tokens = body.split()
     hashtags = _HASHTAG.findall(body)
@@ -92,88 +136,129 @@ def make_of(line: str) -> str:
         return "tags"
     # a strung token has one of these signs at least
     if len(tokens) >= 3 and sum(map(body.count, "-_.+/")) * 5 >= len(tokens) * 4 and not re.search(r"[(){}=<>;:]", body):
-        if sum(bool(_STRUNG_TOKEN.match(t.strip(",;|"))) for t in tokens) * 5 >= len(tokens) * 4:
+        if sum(bool(_SIGN.search(t) and _STRUNG_TOKEN.match(t)) for t in (t.strip(",;|") for t in tokens)) * 5 >= len(tokens) * 4:
             return "tags"
     words = _WORD.findall(body)
-    if len(_CJK.findall(body)) * 3 > len(body):
-        particles = len(re.findall(r"[はがをにのでとも]", body))
-        return "other" if _SENTENCE_END.search(body) or particles * 12 > len(body) else "words"
+    wide = len(_CJK.findall(body))
+    if wide * 3 > len(body):
+        return "sentences" if _SENTENCE_END.search(body) or len(_PARTICLE.findall(body)) * 12 > len(body) else "words"
     if _COMMIT.match(body) or _CONFIG.match(body) or _CODE.search(body):
-        return "other"
+        return "program"
     if not words:
-        return "other"
+        return "program"
     ends = len(_SENTENCE_END.findall(body))
     small = _small_share(words)
     n_small = round(small * len(words))
     if n_small >= 2 and small >= (0.1 if ends else 0.2) or n_small and ends and len(words) >= 8:
-        return "other"
+        return "sentences"
     return "title" if line.lstrip().startswith("#") and len(words) <= 8 else "words"
 
 
-def _masked(line: str, make: str) -> str:
-    """The line as its redundancy is measured: of links and tags, the form alone."""
-    if make == "words":
-        return line
-    return re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "w", _URL.sub("http://x/y", line)))
+def masked(text: str, make: str) -> str:
+    """The text with the names in its addresses, link targets and tags masked: they are no words of its own, and only the form around them can repeat."""
+    if make == "program":
+        return text
+    text = _URL.sub("http://w", text)
+    return re.sub(r"[^\W\d_]+", "w", re.sub(r"\d+", "0", text)) if make in ("links", "tags") else text
+
+
+def spoken_in(text: str) -> str:
+    """The language of EXPECTED that a text is in, by its script and small words; English where nothing tells."""
+    if len(_CJK.findall(text)) * 10 > len(text):
+        return "ja"
+    words = [w.lower() for w in _WORD.findall(text)]
+    return max(SMALL_WORDS, key=lambda k: (sum(map(SMALL_WORDS[k].__contains__, words)), k == "en"))
+
+
+def redundancy(text: str, language: str, make: str = "words") -> float:
+    """How many times better a block compresses than an ordinary one of its length and language."""
+    n = max(1, len(text.encode("utf-8", "surrogatepass")))
+    factor, power = EXPECTED[language]
+    return factor * n**-power / (len(zlib.compress(masked(text, make).encode("utf-8", "surrogatepass"), 6)) / n)
 
 
-def expected_ratio(n: int, cjk: bool) -> float:
-    """What prose of ``n`` bytes compresses to: it falls with the logarithm of the length; texts in Chinese characters and kana start higher in bytes."""
-    return max(0.25, (1.26 if not cjk else 1.2) - 0.105 * math.log(max(n, 20)))
+def sentence_density(text: str) -> float:
+    """Sentences for each word: end marks that close a stretch with two small words (of Japanese, a particle) in it."""
+    text = _URL.sub(" ", text)
+    n = len(_WORD.findall(text)) + len(_CJK.findall(text)) // 2
+    ends = at = 0
+    for m in _SENTENCE_END.finditer(text):
+        stretch = text[at : m.start()]
+        at = m.end()
+        ends += bool(_PARTICLE.search(stretch)) or sum(w.lower() in _SMALL for w in _WORD.findall(stretch)) > 1
+    return ends / max(1, n)
 
 
-def redundancy(text: str) -> float:
-    """How many times better a text compresses than prose of its length and script."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return expected_ratio(len(raw), bool(_CJK.search(text))) / (len(zlib.compress(raw, 6)) / max(1, len(raw)))
+def sign_density(text: str) -> float:
+    """Brackets, operators, quotes and digits for each word."""
+    return len(_SIGNS.findall(text)) / max(1, len(_WORD.findall(text)))
 
 
-def _is_strung(block: list[tuple[str, str]]) -> bool:
-    """Whether lines of makes links, tags and words are, together, extremely redundant and hardly have sentences."""
-    text = "\n".join(x for x, _ in block)
-    words = _WORD.findall(text)
-    formed = sum(len(x) for x, make in block if make != "words")
-    links = sum(len(_URL.findall(x)) for x, make in block if make == "links")
-    redundant = redundancy("\n".join(_masked(x, make) for x, make in block))
-    if formed * 2 >= len(text):
-        return redundant >= REDUNDANT_FORM and (links >= 2 or any(make == "tags" for _, make in block))
-    n = len(words) + len(_CJK.findall(text)) // 2
-    if n < 8 and len(block) < 3:
+def is_strung(text: str, make: str, language: str) -> bool:
+    """Whether a block is extremely redundant for its length and language, and its sentences are sparse."""
+    if make in ("links", "tags"):
+        # one address or tag alone is no list
+        if make == "links" and len(_URL.findall(text)) + text.count("](") < 2:
+            return False
+    elif len(_WORD.findall(text)) + len(_CJK.findall(text)) // 2 < LEAST_WORDS and text.count("\n") + 1 < LEAST_LINES:
         return False
-    sparse = len(_SENTENCE_END.findall(_URL.sub(" ", text))) / max(1, n) < 0.06 or _small_share(words) < 0.1
-    return sparse and redundant >= (REDUNDANT if links < 2 else REDUNDANT_FORM)
+    kind = "program" if make == "program" else language
+    if kind == "program" and sign_density(text) >= SIGNS:
+        return False
+    return redundancy(text, kind, make) >= LEAST[kind] and sentence_density(text) < SPARSE
 
 
-def strung_share(text: str) -> float:
-    """The share of a text's characters (white space at line ends apart) in strung-together blocks."""
-    total = found = 0
-    for m in list(_JSON_WORDS.finditer(text)):
-        if m.group(1).count('"') >= 12:
-            found += len(m.group(1).strip())
-    text = _JSON_WORDS.sub(lambda m: m.group(0).replace(m.group(1), "") if m.group(1).count('"') >= 12 else m.group(0), text)
-    total += found
-    fenced = False
-    block: list[tuple[str, str]] = []
-    held = 0
+def blocks(text: str) -> Iterator[tuple[str, str]]:
+    """``make`` and text of the runs of neighbouring lines of one make. Links, tags and words form one run, which has the make of most of its characters; titles and blank lines end none."""
+    block: list[str] = []
+    sizes: dict[str, int] = {}
+    of, fenced = "", False
+
+    def done() -> Iterator[tuple[str, str]]:
+        if block:
+            yield max(sizes, key=sizes.get), "\n".join(block)
+        block.clear()
+        sizes.clear()
 
-    for line in [*text.splitlines(), "```"]:
+    for line in text.splitlines():
         s = line.strip()
         if not s:
             continue
-        if _FENCE.match(line):
-            fenced = not fenced
+        fence = bool(_FENCE.match(line))
+        fenced ^= fence
         for k in range(0, len(s), BLOCK):
             piece = s[k : k + BLOCK]
-            make = "other" if fenced or _FENCE.match(line) else make_of(line if len(s) <= BLOCK else piece)
-            if (make == "other" or held > BLOCK) and block:
-                found += held if _is_strung(block) else 0
-                block, held = [], 0
-            if make in ("links", "tags", "words"):
-                block.append((piece, make))
-                held += len(piece)
-        total += len(s)
-    total -= 3  # the mark at the end
-    return found / total if total > 0 else 0.0
+            make = "program" if fenced or fence else make_of(line if len(s) <= BLOCK else piece)
+            if make in ("title", "blank"):
+                continue
+            family = make if make in ("program", "sentences") else "strung"
+            if family != of or sum(sizes.values()) > BLOCK:
+                yield from done()
+                of = family
+            block.append(piece)
+            sizes[make] = sizes.get(make, 0) + len(piece)
+    yield from done()
+
+
+def strung_share(text: str) -> float:
+    """The share of a text's characters (white space at line ends apart) in strung-together blocks."""
+    total = sum(len(x.strip()) for x in text.splitlines())
+    if not total:
+        return 0.0
+    language = spoken_in(text)
+    found = 0
+
+    def listed(m: re.Match) -> str:
+        nonlocal found
+        # a list of keywords within configuration is a block of its own
+        if is_strung(m.group(1).strip(), "words", language):
+            found += len(m.group(1).strip())
+            return m.group(0)[: m.start(1) - m.start()]
+        return m.group(0)
+
+    text = _JSON_WORDS.sub(listed, text)
+    found += sum(len(b) - b.count("\n") for make, b in blocks(text) if is_strung(b, make, language))
+    return found / total
 
 
 def stuffed_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:

@@ -109,6 +109,45 @@ def test_stuffed_tables(spark):
     assert spam.stuffed_pages(df.limit(0)).count() == 0
 
 
+_N = "cold warm late early thin wide near far plain node tree leaf root twig harbor uplink zipper gadget".split()
+#: No sentence in them, but nothing is said twice either.
+UNREPEATED = [
+    "\n".join(" ".join("".join(chr(97 + (k * k * 31 + j * 17 + m * (7 + k)) % 26) for m in range(5 + (k + j) % 4)) for j in range(4)) for k in range(40)),
+    "\n".join(f"from {a} import {b}_{c}" for a, b, c in zip(*[(_N[k:] + _N[:k]) for k in (0, 3, 7)])),
+]
+
+
+@pytest.mark.parametrize("text", UNREPEATED, ids=range(2))
+def test_the_compression_ratio_decides(text, monkeypatch):
+    assert spam.strung_share(text) == 0
+    monkeypatch.setattr(spam, "LEAST", dict.fromkeys(spam.LEAST, 0))
+    monkeypatch.setattr(spam, "SIGNS", 99)
+    assert spam.strung_share(text) > 0.5
+
+
+def test_sparse_sentences_confirm(monkeypatch):
+    text = "The index of the node is read from the file again. " * 40
+    assert spam.redundancy(text, "en") > 2 and spam.strung_share(text) == 0
+    monkeypatch.setattr(spam, "SPARSE", 9)
+    assert spam.strung_share(text) == 1
+
+
+@pytest.mark.parametrize("language", sorted(spam.EXPECTED))
+def test_redundancy_falls_with_length_and_differs_by_language(language):
+    factor, power = spam.EXPECTED[language]
+    assert factor > 0 and 0 < power < 1
+    once = "index der Knoten los nodos les feuilles 節点"
+    assert spam.redundancy(once * 20, language) > 2 * spam.redundancy(once, language)
+
+
+def test_long_links_and_strung_words_are_read_whole():
+    long = f'<a class="{"x" * 10_000}" href="https://a.test/{"y" * 5000}">{"free panel " * 900}</a>'
+    assert spam._without_anchors(long + " rest").split() == ["rest"]
+    assert spam.strung_share("\n".join([long, long.replace("free", "best")])) > 0.5
+    assert spam._without_anchors("<a " * 50_000) == "<a " * 50_000
+    assert spam.make_of("_".join("ab" for _ in range(5000)) + "! x_y z_w")  # it ends
+
+
 TS = '''import { X } from './x';
 
 /** Explains what the whole class is good for. */
