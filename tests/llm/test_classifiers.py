@@ -63,6 +63,49 @@ def test_hand_written_tables(spark):
     assert handwritten.not_handwritten(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("path", "content", "signal"),
+    [
+        # a folder's name alone convicts no file of the project's own sources
+        *[(f"./src/{folder}/planner.ts", HAND.format(n=1), None) for folder in ("build", "out", "dist", "target", "codegen")],
+        *[(f"./app/desk/src/app/{folder}/planner.ts", HAND.format(n=1), None) for folder in ("build", "gen", "out", "generated")],
+        *[(f"./apps/desk/{folder}/planner.ts", "// Copyright the desk team, all work our own.\n" + HAND.format(n=1), None) for folder in ("build", "gen", "out", "vendor/lib")],
+        ("./apps/desk/src/gen/rng.ts", "/*\n * Written by hand, as no tool does it.\n */\n" + HAND.format(n=1), None),
+        # the same names beside the sources, and foreign owners
+        *[(f"./apps/desk/{folder}/planner.ts", HAND.format(n=1), "tool_folder") for folder in ("build", "out", "dist/lib", "target/codegen", "src/gen", "src/__generated__", "src/a/node_modules/b")],
+        ("./apps/desk/vendor/lib/a.ts", "// Copyright the lib team, all work our own.\n" + HAND.format(n=1), "foreign_folder"),
+        # layout comes before place and notice
+        ("./apps/desk/vendor/lib/a.min.js", MINIFIED, "dense_lines"),
+        # notices behind other comments and behind the code
+        ("./a.ts", "/*\n licence text\n" + "".join(f" {chr(97 + k % 26) * (k % 40 + 1)} more\n" for k in range(300)) + "*/\n\n/* Code generated by weaver. DO NOT EDIT. */\n" + HAND.format(n=1), "tool_notice"),
+        ("./a.ts", HAND.format(n=1) + "\n// Part of the desk workspace\n\n/**\n * This file was automatically produced from a.yaml.\n */\n", "tool_notice"),
+        ("./a.ts", HAND.format(n=1) + "\nconst HEADER = '// Code generated by weaver. DO NOT EDIT.';\n", None),
+        ("./a.ts", HAND.format(n=1) + "run(); // Code generated by weaver. DO NOT EDIT.\n", None),
+        ("./a.py", '"""\nOutput of weaver 1.2, regenerate with `weaver`.\n"""\nx = 1\n', "tool_notice"),
+        ("./a.css", "#generated-by-hand > b {\n  margin: 1px;\n}\n", None),
+        ("./a.rs", "#![allow(dead_code)]\n// Code generated by weaver. DO NOT EDIT.\nfn a() {}\n", "tool_notice"),
+        # long lines count as others do
+        ("./a.js", "\n".join(f"registry.add('{k:06x}', [{', '.join(f'w{k}_{j}' for j in range(44))}]);" for k in range(100, 130)) + "".join(f"\n{a}{a}({b});" for a in "abcde" for b in "pqrst"), "one_shape"),
+    ],
+)
+def test_places_notices_and_layout(path, content, signal):
+    assert handwritten.signal_of(path, content, None) == signal
+
+
+def test_size_and_line_count_where_the_content_is_unreadable(spark):
+    assert handwritten.signal_of("./a.js", None, None, 90_000, 2) == "dense_lines"
+    assert handwritten.signal_of("./a.js", None, None, 90_000, 2000) is None
+    assert handwritten.signal_of("./a.js", None, None, 90_000, None) is None and handwritten.signal_of("./a.js", "", None, None, 0) is None
+    df = spark.createDataFrame([("./a.js", None, None, 90_000, 2), ("./b.js", None, None, None, 2)], "path string, content string, language string, size long, line_count int")
+    assert [tuple(r) for r in handwritten.not_handwritten(df).collect()] == [("./a.js", "dense_lines")]
+
+
+@pytest.mark.parametrize("language", sorted(handwritten.LIMITS))
+def test_limits_are_those_of_the_language(language):
+    own = handwritten.LIMITS[language]
+    assert all(own != handwritten.LIMITS[x] for x in handwritten.LIMITS if x != language)
+
+
 SENTENCES = "The cache is read only when its index is older than the newest file on disk. If a node cannot be found, the service answers with an empty list. Results are sorted by score, and equal ones keep their order. "
 SPAM = [
     "cheap gateway ledger free plugin gateway ledger best gateway ledger download gateway ledger crack gateway ledger top " * 8,
