@@ -408,3 +408,86 @@ def test_long_decorators_types_and_returns_lose_no_function():
     assert [described for (name, _), described in got.items() if name == "pick"] == [True]
     got = found(f"const box = {{\n{doc}choose: (first: string): Map<string, {' | '.join(f'Type{n}' for n in range(60))}> => {{\n  return first;\n}},\n}};\n", "typescript")
     assert [described for (name, _), described in got.items() if name == "choose"] == [True]
+
+
+STORE = """
+export interface Sized {
+  /** Tells how many entries are left after the newest cleanup. */
+  size(): number;
+  /** Reads entries whose keys carry that name. */
+  get(key: string): string;
+  /** Reads the entry that stands there, counted from zero. */
+  get(place: number): string;
+}
+"""
+CLOTHES = """
+export interface Clothes {
+  /** Says which letters the tailor sewed into the collar. */
+  size(): number;
+}
+export abstract class Shape {
+  /** Draws itself onto whatever canvas is handed over. */
+  abstract draw(on: Canvas): void;
+}
+"""
+USERS = """
+export class Store extends shapes.Shape implements api.Sized, Other<{ a: number }> {
+  size(): number { return this.n; }
+  get(place: number): string { return this.at[place]; }
+  draw(on: Canvas): void { on.put(this); }
+}
+export class Shirt implements Clothes {
+  size(): number { return 4; }
+}
+export class Lone {
+  size(): number { return 1; }
+}
+function size(): number { return 2; }
+"""
+TRAITS = """
+pub trait Walk<T> {
+    /// Goes on until the last open door was tried.
+    fn walk(&self, to: &T) -> u32;
+}
+"""
+IMPLS = """
+impl<'a, T: Into<Vec<u8>>> crate::far::Walk<T> for Robot<'a, T> where T: Copy {
+    fn walk(&self, to: &T) -> u32 { 1 }
+}
+impl Robot { fn walk(&self, to: &T) -> u32 { 2 } }
+impl Walk<u8> for Cat { fn walk(&self, to: &u8) -> u32 { 3 } }
+"""
+
+
+def test_declarations_are_joined_by_qualified_name_and_signature(spark):
+    files = [("s.ts", "p", STORE), ("c.ts", "p", CLOTHES), ("u.ts", "p", USERS), ("u.js", "p", USERS.replace(": number", "").replace(": string", "").replace(": void", "").replace(": Canvas", "")), ("t.rs", "p", TRAITS), ("i.rs", "p", IMPLS), ("u2.ts", "q", USERS), ("u.ts", "p", USERS)]
+    df = spark.createDataFrame([(a, b, None, c) for a, b, c in files], "path string, project string, language string, content string")
+    pairs = docpairs.documented_functions(docpairs.symbol_table(df)).where("description_of = 'declaration'")
+    got = sorted((r["path"], r["owner"], r["name"], r["description"].split()[0], r["description"].split()[-1]) for r in pairs.collect())
+    twice = [("u.ts", "Shirt", "size", "Says", "collar."), ("u.ts", "Store", "draw", "Draws", "over."), ("u.ts", "Store", "get", "Reads", "zero."), ("u.ts", "Store", "size", "Tells", "cleanup.")]
+    plain = [("u.js", "Shirt", "size", "Says", "collar."), ("u.js", "Store", "size", "Tells", "cleanup.")]
+    assert got == sorted([("i.rs", "Robot", "walk", "Goes", "tried."), *plain, *twice, *twice])
+
+
+def test_owners_names_and_decorators_are_found_however_far_off():
+    doc = "/** Collects rejected orders before the warehouse closes. */\n"
+    many = ", ".join(f"Base{n}" for n in range(400))
+    (one,) = docpairs.symbols(f"class Far implements {many} {{\n run(): void {{ return; }}\n}}", "typescript")
+    assert (one.owner, len(one.bases)) == ("Far", 400)
+    (one,) = docpairs.symbols(f"impl<{', '.join(f'T{n}: Into<u8>' for n in range(300))}> Walk for Far {{ fn run(&self) {{}} }}", "rust")
+    assert (one.owner, one.bases) == ("Far", ["Walk"])
+    kinds = " | ".join(f"Type{n}" for n in range(300))
+    for text in (f"{doc}const pick: (a: number) => {kinds} = (a: number) => {{ return a; }};", f"{doc}export const pick\n  = (a) => {{ return a; }};", f"{doc}export const pick: Handler<{kinds}>\n  = async (a) => {{ return a; }};"):
+        assert [(s.name, s.line, docpairs.describes(s.comment, s.name)) for s in docpairs.symbols(text, "typescript")] == [("pick", 2, True)], text[:80]
+    hook = "@Hook({\n" + "\n".join(f"  'key{n}': {n}," for n in range(40)) + "\n})\n@Other(\n  1,\n)"
+    assert [(s.name, docpairs.describes(s.comment, s.name)) for s in docpairs.symbols(f"class A {{\n{doc}{hook}\nrun(a: string) {{ return a; }}\n}}", "typescript")] == [("run", True)]
+
+
+@pytest.mark.parametrize("text", ["class A " * 20_000, "impl " * 20_000, "a = " * 20_000 + "(b) => {", "@a(\n" * 5000 + ")\nf() {", "x: " * 20_000, "def f(a): pass\n" * 3000, "run(a);\n" * 20_000, "const f = (a) => { return a; };\n" * 3000])
+def test_scanning_takes_linear_time(text):
+    import time
+
+    for language in ("typescript", "rust", "python"):
+        began = time.perf_counter()
+        docpairs.symbols(text, language)
+        assert time.perf_counter() - began < 8
