@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.runtime import keep
+from siftwork.runtime import discard, keep
 
 
 def leader_clusters(items: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
@@ -26,7 +26,8 @@ def leader_clusters(items: DataFrame, pairs: DataFrame, rounds: int = 200) -> Da
     for _ in range(rounds):
         smaller = edges.join(state.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.max(F.when(F.col("state") == 1, 1).otherwise(0)).alias("near_leader"), F.max(F.when(F.col("state") == 0, 1).otherwise(0)).alias("near_open"))
         decided = F.when(F.col("state") != 0, F.col("state")).when(F.col("near_leader") == 1, 2).when(F.coalesce("near_open", F.lit(0)) == 0, 1).otherwise(0)
-        state = keep(state.join(smaller, state["id"] == smaller["b"], "left").select("id", decided.alias("state")), "leaders")
+        before, state = state, keep(state.join(smaller, state["id"] == smaller["b"], "left").select("id", decided.alias("state")), "leaders")
+        discard(before)
         if state.where("state = 0").isEmpty():
             break
     else:

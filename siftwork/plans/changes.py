@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.operators.changes import ChangeRun, file_log, latest, recorded_states
-from siftwork.runtime import shared_dir, table
+from siftwork.runtime import new_folder, table
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the next run: the rows of a batch plan, written ahead, against what earlier runs recorded."""
-    run = ChangeRun(spark, f"{shared_dir(spark)}/siftwork/changes-{uuid.uuid4().hex}")
-    done = recorded_states(table(spark, folder, "cache_entry"), table(spark, folder, "analysis_runs"))
-    _, plan = run.plan(file_log(table(spark, folder, "file_metadata")), done)
-    return plan.select(F.col("key").alias("path"))
+    """The files of the next run: it begins with what earlier runs recorded, plans its batch, applies and commits it; these are the batch's rows.
+
+    The folder is the question's own, as the tables hold all that earlier runs left: asked twice, it gives the same rows.
+    """
+    run = ChangeRun(spark, new_folder(spark, "changes"))
+    run.adopt(recorded_states(table(spark, folder, "cache_entry"), table(spark, folder, "analysis_runs")))
+    batch = run.run(file_log(table(spark, folder, "file_metadata")))
+    return run.read_plan(batch).select(F.col("key").alias("path"))
 
 
 def p3_states(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _owned: dict[str, str] = {}
+_kept: dict[str, SparkSession] = {}
 
 
 def build_session(app: str = "siftwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,16 +31,27 @@ def build_session(app: str = "siftwork", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in local tests, one made here."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset one is made here, but only for a session within this machine: executors elsewhere would write to their own disks."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _owned:
-        _owned[app] = "file://" + tempfile.mkdtemp(prefix="siftwork-")
+        folder = tempfile.mkdtemp(prefix="siftwork-")
+        atexit.register(shutil.rmtree, folder, True)
+        _owned[app] = "file://" + folder
     return _owned[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one. It goes away with the session."""
+    path = f"{shared_dir(spark)}/siftwork/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 _shipped: set[str] = set()
 
 
@@ -72,12 +84,19 @@ def keep(df: DataFrame, name: str = "part") -> DataFrame:
     with the session.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwork/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _kept[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(kept: DataFrame) -> None:
+    """Delete the files of a kept table that nothing reads any more. Other tables stay as they are."""
+    for path in {f.rpartition("/")[0] for f in kept.inputFiles()}:
+        for known in [k for k in _kept if k.split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")]:
+            _remove(_kept.pop(known), known)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small input over all cores, for work that costs much more for each row than a shuffle of it.
 

@@ -22,10 +22,10 @@ def keep_index(spark: SparkSession, stream: DataFrame, folder: str, key: str, of
 
     def batch(df: DataFrame, _: int) -> None:
         # a plan left by a failed run goes first
-        last = run.last_batch()
-        if last >= 0 and not run._marked(last, "commits"):
-            run.apply(last)
-            run.commit(last)
+        left = run.unfinished()
+        if left is not None:
+            run.apply(left)
+            run.commit(left)
         run.run(change_log(df, F.col(key).cast("string"), F.col(offset), F.col(state).cast("string")))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()

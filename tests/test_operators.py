@@ -230,6 +230,66 @@ def test_runs_neither_skip_nor_repeat(spark, tmp_path, rows):
     assert {r["until"] for r in run.offsets().collect()} <= {1, 2}
 
 
+def positioned(spark, data):
+    df = spark.createDataFrame(data, LOG + ", at long")
+    return changes.change_log(df, F.col("path"), F.col("revision"), F.col("hash"), position=F.col("at"))
+
+
+@pytest.mark.parametrize("crash", ["after the plan", "half an apply", "after the apply", "before the plan is whole"])
+def test_a_crash_at_any_step_loses_and_repeats_nothing(spark, tmp_path, rows, crash):
+    run = changes.ChangeRun(spark, f"file://{tmp_path}/run")
+    data = [("a", 1, "x", 10), ("b", 1, "x", 11), ("c", 1, "x", 12)]
+    assert run.run(positioned(spark, data)) == 0
+    data += [("a", 2, "y", 20), ("d", 1, "x", 21), ("e", 1, "x", 22)]
+    log = positioned(spark, data)
+    batch, plan = run.plan(log)
+    assert (batch, rows(plan, "key", "offset")) == (1, [("a", 2), ("d", 1), ("e", 1)])
+    if crash == "before the plan is whole":
+        import os
+
+        os.remove(f"{tmp_path}/run/plans/batch=00000001/_SUCCESS")
+    if crash == "half an apply":
+        plan.where("key = 'd'").withColumn("batch", F.lit(1)).write.mode("append").parquet(f"{run.folder}/sink")
+    if crash == "after the apply":
+        run.apply(1)
+    # another process takes up the folder; more has come meanwhile
+    run = changes.ChangeRun(spark, run.folder)
+    more = [*data, ("f", 1, "x", 30), ("a", 3, "z", 31)]
+    assert run.run(positioned(spark, more)) == 1
+    if crash != "before the plan is whole":
+        assert rows(run.read_plan(1), "key", "offset") == [("a", 2), ("d", 1), ("e", 1)]
+        assert run.run(positioned(spark, more)) == 2
+        assert rows(run.sink(), "key", "offset") == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("c", 1), ("d", 1), ("e", 1), ("f", 1)]
+    assert rows(run.done(), "key", "state") == [("a", "z"), ("b", "x"), ("c", "x"), ("d", "x"), ("e", "x"), ("f", "x")]
+    assert run.sink().groupBy("key", "offset").count().where("count > 1").isEmpty()
+
+
+def test_a_plan_reads_each_partition_from_where_the_last_one_ended(spark, tmp_path, rows):
+    run = changes.ChangeRun(spark, f"file://{tmp_path}/run", snapshot_every=2)
+    keys = [f"k{n}" for n in range(200)]
+    run.run(positioned(spark, [(k, 1, "x", 100 + n) for n, k in enumerate(keys)]))
+    ends = dict(rows(run.offsets(), "part", "until"))
+    assert len(ends) > 40 and max(ends.values()) == 299 and min(ends.values()) < 299
+    # what lies before a partition's end isn't looked at any more; what lies at it is, and what has no position
+    part_of = dict(rows(changes.latest(positioned(spark, [(k, 1, "x", 1) for k in keys])), "key", "part"))
+    behind, at = [k for n, k in enumerate(keys) if 100 + n < ends[part_of[k]]][:1], [k for n, k in enumerate(keys) if 100 + n == ends[part_of[k]]][:1]
+    run.run(positioned(spark, [(behind[0], 2, "y", 100), (at[0], 2, "y", ends[part_of[at[0]]]), ("new", 1, "x", None)]))
+    assert rows(run.read_plan(1), "key") == sorted([(at[0],), ("new",)])
+    # the snapshot that followed holds all keys once, and later runs go on from it
+    assert run._last("states") == 2 and run.done().count() == 201
+    assert run.run(positioned(spark, [(k, 1, "x", 1000) for k in keys] + [("last", 1, "x", 1001)])) == 2
+    assert rows(run.read_plan(2), "key") == [("last",)]
+    assert run.done().count() == 202 and run.run(positioned(spark, []).limit(0)) == 3 and run.read_plan(3).count() == 0
+
+
+def test_a_run_adopts_what_was_recorded_before(spark, tmp_path, rows):
+    run = changes.ChangeRun(spark, f"file://{tmp_path}/run")
+    run.adopt(spark.createDataFrame([("a", "x"), ("b", None), ("gone", "x")], "key string, state string"))
+    assert run.run(positioned(spark, [("a", 4, "x", 1), ("b", 1, "x", 2), ("c", 1, "x", 3)])) == 0
+    assert rows(run.read_plan(0), "key") == [("b",), ("c",)]
+    assert rows(run.done(), "key", "state") == [("a", "x"), ("b", "x"), ("c", "x"), ("gone", "x")]
+
+
 def test_recorded_states(spark, rows):
     cache_rows = [("a", "X1", 1, 1), ("./a", "x2", 2, 2), (".\\a", "x3", 3, 3), ("b", None, 1, 1), ("c", "z", 5, None), (None, "q", 1, 1)]
     c = spark.createDataFrame(cache_rows, "path string, file_hash string, n int, run_id long").withColumn("last_analyzed", F.timestamp_seconds("n"))
