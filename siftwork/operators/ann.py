@@ -15,21 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.vectors import METRICS
+from siftwork.operators import lists
 from siftwork.runtime import keep, spread
 
 #: The factors of the planes' formula (see ``planes``).
 PLANE_FACTORS = (7919, 104729, 1299709, 1103515245, 12345)
 TABLES, BITS = 12, 5
 #: Buckets of each table that an approximate search looks into: its own and those across the nearest planes.
-PROBES = 10
-#: Queries that go to every task as one matrix; more are joined.
+PROBES = 12
+#: Queries that go to every task as one matrix; more take several passes.
 MATRIX_QUERIES = 4096
 #: Vectors that go to every task as one matrix when all are compared with all; more take several passes.
 SLICE = 65_536
 #: Rows and columns of a block of similarities, and what float accuracy may be off.
 BLOCK, WIDTH, OFF = 512, 4096, 1e-5
-#: A search gives at most so many rows, whatever is asked for.
-MOST_RESULTS = 50
 
 
 def planes(dim: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
@@ -90,19 +89,22 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _similarities(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The similarity of each row of ``x`` (n, dim) with one query, as the metric's column does it."""
-    if metric == "cosine":
-        n = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
-        return np.clip(np.divide(x @ q, n, out=np.zeros(len(x)), where=n > 0), -1, 1)
-    if metric == "dot":
-        return x @ q
+    """The similarity of each row of ``q`` (m, dim) with each of ``x`` (n, dim), as the metric's column does it."""
+    if metric in ("cosine", "dot"):
+        s = q @ x.T
+        if metric == "dot":
+            return s
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        return np.clip(np.divide(s, n, out=np.zeros_like(s), where=n > 0), -1, 1)
+    if metric == "jaccard":
+        has, asked = (x > 0).astype(np.float64), (q > 0).astype(np.float64)
+        both = asked @ has.T
+        either = asked.sum(1)[:, None] + has.sum(1) - both
+        return np.divide(both, either, out=np.ones_like(both), where=either > 0)
     if metric == "euclidean":
-        return np.exp(-np.sqrt(((x - q) ** 2).sum(1)))
+        return np.exp(-np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in q]))
     if metric == "manhattan":
-        return 1 / (1 + np.abs(x - q).sum(1))
-    if metric == "jaccard":
-        either = ((x > 0) | (q > 0)).sum(1)
-        return np.divide(((x > 0) & (q > 0)).sum(1), either, out=np.ones(len(x)), where=either > 0)
+        return 1 / (1 + np.stack([np.abs(x - one).sum(1) for one in q]))
     raise KeyError(metric)
 
 
@@ -111,52 +113,143 @@ def _plain(vectors: DataFrame, column: str, dim: int | None) -> DataFrame:
     return vectors.where(known if dim is None else known & (F.size(column) == dim))
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
+class _Best:
+    """The ``k`` best rows of each query so far, with all that equal the last of them."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.rows = 0
+
+    def add(self, asked: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        self.held.append((asked, score, ids))
+        self.rows += len(asked)
+        if self.rows > 1_000_000:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+        if not self.held:
+            return None
+        asked, score = (np.concatenate([h[n] for h in self.held]) for n in (0, 1))
+        ids = pa.concat_arrays([h[2] for h in self.held])
+        order = np.lexsort((-score, asked))
+        asked, score = asked[order], score[order]
+        first = np.searchsorted(asked, asked)
+        last = np.minimum(first + self.k - 1, np.searchsorted(asked, asked, side="right") - 1)
+        keep = np.flatnonzero(score >= score[last] - 1e-12)
+        self.held = [(asked[keep], score[keep], ids.take(pa.array(order[keep])))]
+        self.rows = len(keep)
+        return self.held[0]
+
+
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", least: float | None = None, block: int = MATRIX_QUERIES) -> DataFrame:
     """``query, id, score, rank``: for each query the ``k`` nearest of all vectors but itself; ties by id.
 
-    ``queries`` (``query``, ``qv``) is a stated set. Up to MATRIX_QUERIES of them go to every task as a matrix, and each
-    Arrow batch of vectors gives its own best ``k`` (with ties) before the shuffle; more queries, or a metric that was
-    registered, are joined. Vectors of another length than a query's have no score with it.
+    ``queries`` (``query``, ``qv``) is a stated set. They go to every task as matrices of about ``block`` queries, one pass over
+    the vectors for each; a task gives its own best ``k`` (with ties) of each query before the shuffle. A metric that was
+    registered is no matrix product: its pairs are scored by its column, in passes likewise. Vectors of another length than a
+    query's have no score with it.
     """
-    at_hand = queries.limit(MATRIX_QUERIES + 1).collect() if metric in ("cosine", "dot", "euclidean", "manhattan", "jaccard") else None
-    if at_hand is None or len(at_hand) > MATRIX_QUERIES:
-        m = METRICS[metric].similarity
-        scored = vectors.join(queries, F.col("id") != F.col("query")).select("query", "id", m(F.col("qv"), F.col("v")).alias("score")).where("score IS NOT NULL")
-        return top_per(scored if least is None else scored.where(F.col("score") >= least), "query", k)
-    asked = [(r["query"], np.array(r["qv"], dtype=np.float64)) for r in at_hand if r["qv"] is not None and None not in r["qv"]]
-    ids, query_kind = vectors.schema["id"].dataType.simpleString(), queries.schema["query"].dataType
+    spark = vectors.sparkSession
+    asked_all = _plain(queries.where("query IS NOT NULL").select("query", "qv"), "qv", None)
+    blocks = max(1, -(-asked_all.count() // block))
+    kind, query_kind = vectors.schema["id"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    built_in = metric in ("cosine", "dot", "euclidean", "manhattan", "jaccard")
+    parts = []
+    for nth in range(blocks):
+        some = asked_all if blocks == 1 else asked_all.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == nth)
+        if built_in:
+            held = some.toArrow().combine_chunks()  # about `block` rows
+            found = _plain(vectors.select("id", "v"), "v", None).mapInArrow(_scan_queries(held, k, metric, least), f"query {query_kind}, id {kind}, score double")
+        else:
+            found = vectors.select("id", "v").join(F.broadcast(some), F.col("id") != F.col("query")).select("query", "id", METRICS[metric].similarity(F.col("qv"), F.col("v")).alias("score")).where("score IS NOT NULL")
+            found = found if least is None else found.where(F.col("score") >= least)
+        parts.append(found if blocks == 1 else keep(top_per(found, "query", k), "pass"))
+    if blocks == 1:
+        return top_per(parts[0], "query", k)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(query_kind)
-        for b in batches:
-            lists = b.column("v")
-            sizes = np.diff(np.asarray(lists.offsets))
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+    """Ids, dimension and matrix of the vectors of one length, WIDTH rows of ``id``, ``v`` at a time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, WIDTH):
+            at = pa.array(np.arange(start, min(start + WIDTH, whole.num_rows)))
+            ids, given = whole.column("id").take(at), whole.column("v").take(at)
+            sizes = np.diff(np.asarray(given.offsets))
             for dim in np.unique(sizes):
-                rows = np.flatnonzero(sizes == dim)
-                x = np.asarray(lists.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(len(rows), dim)
-                own = b.column("id").take(pa.array(rows))
-                place: dict = {}
-                for n, name in enumerate(own.to_pylist()):
-                    place.setdefault(name, []).append(n)
-                found_q, found_r, found_s = [], [], []
-                for query, q in asked:
-                    if len(q) != dim:
-                        continue
+                rows = pa.array(np.flatnonzero(sizes == dim))
+                yield ids.take(rows), dim, np.asarray(given.take(rows).flatten(), dtype=np.float64).reshape(len(rows), dim)
+
+
+def similarity_rows(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", block: int = MATRIX_QUERIES) -> DataFrame:
+    """``query, id, score``: the rows of the similarity matrix that belong to a stated set of queries, 1 for a vector with itself.
+
+    As many rows as vectors times queries, by its definition. One pass over the vectors for about ``block`` queries.
+    """
+    asked_all = _plain(queries.where("query IS NOT NULL").select("query", "qv"), "qv", None)
+    blocks = max(1, -(-asked_all.count() // block))
+    kind, query_kind = vectors.schema["id"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
+    out = None
+    for nth in range(blocks):
+        held = asked_all.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == nth).toArrow().combine_chunks()  # about `block` rows
+
+        def run(batches: Iterator[pa.RecordBatch], held: pa.Table = held) -> Iterator[pa.RecordBatch]:
+            if not held.num_rows:
+                return
+            names, given = held.column("query").combine_chunks(), held.column("qv").combine_chunks()
+            lengths = np.diff(np.asarray(given.offsets))
+            for own, dim, x in _by_length(batches):
+                which = np.flatnonzero(lengths == dim)
+                for first in range(0, len(which), 64):
+                    some = which[first : first + 64]
+                    q = np.asarray(given.take(pa.array(some)).flatten(), dtype=np.float64).reshape(-1, dim)
                     score = _similarities(metric, x, q)
-                    if query in place:
-                        score[place[query]] = -np.inf
-                    floor = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                    hit = np.flatnonzero((score >= floor - 1e-12) & (score > -np.inf) & (score >= (-np.inf if least is None else least)))
-                    found_q += [query] * len(hit)
-                    found_r.append(hit)
-                    found_s.append(score[hit])
-                at = np.concatenate(found_r) if found_r else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found_q, kind), own.take(pa.array(at)), pa.array(np.concatenate(found_s) if found_s else np.zeros(0))], names=["query", "id", "score"])
+                    r, c = (n.ravel() for n in np.indices(score.shape))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some[r])), own.take(pa.array(c)), pa.array(score.ravel())], names=["query", "id", "score"])
+
+        part = _plain(vectors.select("id", "v"), "v", None).mapInArrow(run, f"query {query_kind}, id {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("score", F.when(F.col("query") == F.col("id"), 1.0).otherwise(F.col("score")))
 
-    scored = _plain(vectors.select("id", "v"), "v", None).mapInArrow(run, f"query {query_kind.simpleString()}, id {ids}, score double")
-    return top_per(scored, "query", k)
+
+def _scan_queries(held: pa.Table, k: int, metric: str, least: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each query of ``held`` the best ``k`` of a task's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held.num_rows:
+            return
+        names, given = held.column("query").combine_chunks(), held.column("qv").combine_chunks()
+        lengths = np.diff(np.asarray(given.offsets))
+        place: dict[object, list[int]] = {}
+        for n, name in enumerate(names.to_pylist()):
+            place.setdefault(name, []).append(n)
+        groups = {dim: (which := np.flatnonzero(lengths == dim), np.asarray(given.take(pa.array(which)).flatten(), dtype=np.float64).reshape(-1, dim)) for dim in np.unique(lengths)}
+        best = _Best(k)
+        for own, dim, x in _by_length(batches):
+            if dim not in groups:
+                continue
+            which, q = groups[dim]
+            at = {int(n): r for r, n in enumerate(which)}
+            itself = np.array([(at[n], column) for column, name in enumerate(own.to_pylist()) for n in place.get(name, ()) if n in at], dtype=np.int64).reshape(-1, 2)
+            for first in range(0, len(q), BLOCK):
+                score = _similarities(metric, x, q[first : first + BLOCK])
+                r, c = itself[(itself[:, 0] >= first) & (itself[:, 0] < first + len(score))].T
+                score[r - first, c] = -np.inf
+                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                r, c = np.nonzero((score >= floor[:, None] - 1e-12) & (score > -np.inf) & (score >= (-np.inf if least is None else least)))
+                best.add(which[first + r], score[r, c], own.take(pa.array(c)))
+        top = best.shrink()
+        if top is not None:
+            asked, score, ids = top
+            for start in range(0, len(asked), 1 << 16):
+                part = slice(start, start + (1 << 16))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[part])), ids[part], pa.array(score[part])], names=["query", "id", "score"])
+
+    return run
 
 
 def score_pairs(pairs: DataFrame, dim: int) -> DataFrame:
@@ -179,12 +272,12 @@ def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def approximate_topk(vectors: DataFrame, queries: DataFrame, dim: int, k: int, least: float = 0.7, tables: int = TABLES, bits: int = BITS, probes: int = PROBES) -> DataFrame:
-    """As ``exact_topk`` by cosine among the candidates in the ``probes`` buckets of each table that are nearest to the query, of at least ``least``, at most MOST_RESULTS."""
+    """As ``exact_topk`` by cosine among the candidates in the ``probes`` buckets of each table that are nearest to the query, of at least ``least``."""
     index = signatures(vectors, "id", "v", dim, tables, bits)
     asked = signatures(queries, "query", "qv", dim, tables, bits, probes)
     pairs = candidates(index, asked).where("query <> id").select(F.col("query").alias("a"), F.col("id").alias("b"))
     scored = score_pairs(pairs.join(vectors.select(F.col("id").alias("b"), F.col("v").alias("bv")), "b").join(queries.select(F.col("query").alias("a"), F.col("qv").alias("av")), "a"), dim)
-    return top_per(scored.where(F.col("score") >= least).withColumnsRenamed({"a": "query", "b": "id"}), "query", min(k, MOST_RESULTS))
+    return top_per(scored.where(F.col("score") >= least).withColumnsRenamed({"a": "query", "b": "id"}), "query", k)
 
 
 def similar_pairs(vectors: DataFrame, dim: int, threshold: float, strict: bool = True, tables: int = TABLES, bits: int = BITS) -> DataFrame:
@@ -314,6 +407,40 @@ def all_similar_pairs(vectors: DataFrame, dim: int, threshold: float, strict: bo
     return other.unionByName(same) if threshold < 1 or not strict else other
 
 
+def similar_classes(vectors: DataFrame, dim: int, threshold: float, strict: bool = True, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``members`` (``id``, ``first``: the least id with the same vector) and ``pairs`` (``a``, ``b``, ``score``, a < b) of such first ids whose cosine exceeds (or reaches) the threshold.
+
+    Equal vectors are one class, compared once, however many they are: their links among each other are what ``first`` says,
+    and those with others are those of their first. By posting lists, whose work grows with the vectors and the length of a
+    list; a pair is missed if no list holds both (see the README for the recall measured). With ``exact`` all are compared with
+    all. Vectors are of ``dim`` numbers, not all zero; null ids name no entry.
+    """
+    v = F.col("v").cast("array<float>")
+    members = keep(vectors.where("id IS NOT NULL").select("id", v.alias("embedding"), F.xxhash64(v).alias("class_a"), F.xxhash64(F.lit(1), v).alias("class_b")), "members")
+    classes = members.groupBy("class_a", "class_b").agg(F.min("id").alias("first"), F.first("embedding").alias("embedding"))
+    firsts = keep(classes.select("class_a", "class_b", "first"), "firsts")
+    if exact:
+        by_id = classes.select(F.col("first").alias("id"), F.col("embedding").alias("v"))
+        pairs = against_all(by_id, by_id, dim, scan_least(threshold), once=True)
+    else:
+        index = lists.fit(members, dim, threshold)
+        if index is None:
+            pairs = firsts.sparkSession.createDataFrame([], f"a {(kind := vectors.schema['id'].dataType.simpleString())}, b {kind}, score double")
+        else:
+            found = lists.alike_in_lists(lists.post(classes, index, dim), dim, threshold)
+            one, other = (firsts.select(F.col("class_a").alias(f"{n}_a"), F.col("class_b").alias(f"{n}_b"), F.col("first").alias(n)) for n in "xy")
+            joined = found.withColumnsRenamed({"a_a": "x_a", "a_b": "x_b", "b_a": "y_a", "b_b": "y_b"}).join(one, ["x_a", "x_b"]).join(other, ["y_a", "y_b"])
+            pairs = joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("cosine", F.lit(1.0)).alias("score"))
+    pairs = pairs.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
+    return members.select("id", "class_a", "class_b").join(firsts, ["class_a", "class_b"]).select("id", "first"), pairs
+
+
+def linked(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, score``: the pairs of ``similar_classes``, and each further copy with the first of its class."""
+    copies = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    return pairs.select("a", "b", "score").unionByName(copies)
+
+
 def combined_score(similarity: Column, rerank: Column) -> Column:
     return similarity * 0.4 + rerank * 0.6
 

@@ -18,8 +18,8 @@ class VectorStore:
     The index of a search is derived from the vectors, so adding, replacing and deleting leave nothing behind in it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, dim: int = 768) -> None:
-        self.spark, self.dim, self.table = spark, dim, VersionedTable(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, dim: int = 768, most: int | None = None) -> None:
+        self.spark, self.dim, self.most, self.table = spark, dim, most, VersionedTable(spark, folder)
 
     def all(self) -> DataFrame:
         held = self.table.read()
@@ -64,16 +64,17 @@ class VectorStore:
         return g.agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), (F.count("*") * self.dim * 4 / 1048576).alias("mb"))
 
     def search(self, vector: list[float], k: int = 10, least: float = 0.7, exact: bool = False) -> DataFrame:
-        """``id``, ``score``, ``rank`` of the nearest by cosine of at least ``least``: among bucket neighbours, or among all with ``exact``."""
+        """``id``, ``score``, ``rank`` of the ``k`` nearest by cosine of at least ``least``: among bucket neighbours, or among all with ``exact``. With ``most`` of the store never more than that."""
+        k = k if self.most is None else min(k, self.most)
         if len(vector) != self.dim:
             raise ValueError(f"a vector of {self.dim} numbers is expected")
         v = self.all().select("id", F.col("embedding").alias("v"))
         q = self.spark.createDataFrame([("?", [float(x) for x in vector])], "query string, qv array<float>")
-        found = ann.exact_topk(v, q, min(k, ann.MOST_RESULTS), least=least) if exact else ann.approximate_topk(v, q, self.dim, k, least)
+        found = ann.exact_topk(v, q, k, least=least) if exact else ann.approximate_topk(v, q, self.dim, k, least)
         return found.select("id", "score", "rank")
 
 
-def semantic_search(store: VectorStore, question: str, k: int = 10, filters: S.Filters | None = None, embedder: str = "lexical", least: float = 0.1, candidates: int = ann.MOST_RESULTS, exact: bool = False) -> DataFrame:
+def semantic_search(store: VectorStore, question: str, k: int = 10, filters: S.Filters | None = None, embedder: str = "lexical", least: float = 0.1, candidates: int = 50, exact: bool = False) -> DataFrame:
     """The best entries for a question: ``id, file_path, similarity, rerank, score, confidence, rank``.
 
     Candidates by vector, then the rerank score of name, kind and tokens, the combined score, at least ``least``, the

@@ -53,25 +53,32 @@ def call(spark: SparkSession, folder: str, name: str, parameters: str | Mapping[
     return TOOLS[name].run(spark, folder, **{**known, **given})
 
 
+def _current_fragments(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Of each fragment id the row extracted last; of rows extracted at once the greatest."""
+    top = F.max(F.struct("extracted_at", *columns)).alias("top")
+    return table(spark, folder, "code_fragments").groupBy("fragment_id").agg(top).select("fragment_id", *[f"top.{c}" for c in columns])
+
+
 @tool("search", "Fragments by words, with filters before or after the limit", query="", limit=20, languages=None, include_paths=None, exclude_paths=None, filter_after=True)
 def search(spark, folder, query, limit, languages, include_paths, exclude_paths, filter_after):
-    f = table(spark, folder, "code_fragments").where("code_content IS NOT NULL").select("fragment_id", F.coalesce("function_name", F.lit("")).alias("function_name"), "code_content", "file_path", "language", F.lit("Function").alias("code_type"), F.col("complexity_score").alias("complexity")).dropDuplicates(["fragment_id"])
+    f = _current_fragments(spark, folder, "function_name", "code_content", "file_path", "language", "complexity_score").where("code_content IS NOT NULL")
+    f = f.select("fragment_id", F.coalesce("function_name", F.lit("")).alias("function_name"), "code_content", "file_path", "language", F.lit("Function").alias("code_type"), F.col("complexity_score").alias("complexity"))
     wanted = S.Filters(languages, None, include_paths, exclude_paths)
     found = S.search(f, S.lexical_score(query, F.col("function_name"), F.col("code_content")), "fragment_id", limit, filters=wanted, filter_after=filter_after)
     return found.select("fragment_id", "function_name", "file_path", "score", "rank", F.array_join(F.slice(F.split("code_content", r"\s+"), 1, 10), " ").alias("snippet"))
 
 
-@tool("similar", "Entries most similar to one entry", id="", limit=10, least=0.3)
-def similar(spark, folder, id, limit, least):
-    v = table(spark, folder, "vectors").groupBy("id").agg(F.max_by("embedding", "updated_at").alias("v"))
-    return ann.exact_topk(v, v.where(F.col("id") == id).select(F.col("id").alias("query"), F.col("v").alias("qv")), min(limit, ann.MOST_RESULTS), least=least)
+@tool("similar", "Entries most similar to one entry", id="", limit=10, least=0.3, most=None)
+def similar(spark, folder, id, limit, least, most):
+    v = table(spark, folder, "vectors").groupBy("id").agg(F.max_by("embedding", F.struct("updated_at", "hash")).alias("v"))
+    return ann.exact_topk(v, v.where(F.col("id") == id).select(F.col("id").alias("query"), F.col("v").alias("qv")), limit if most is None else min(limit, most), least=least)
 
 
 @tool("context", "The best files for a question, packed into a token budget", query="", max_tokens=4000, include_tests=False)
 def context(spark, folder, query, max_tokens, include_tests):
     from siftwork.functions.classify import is_test_path
 
-    f = table(spark, folder, "code_fragments").where("code_content IS NOT NULL AND file_path IS NOT NULL").dropDuplicates(["fragment_id"])
+    f = _current_fragments(spark, folder, "code_content", "file_path").where("code_content IS NOT NULL AND file_path IS NOT NULL")
     f = f if include_tests else f.where(~is_test_path(F.col("file_path")))
     scored = f.withColumn("score", S.rerank_score(F.lit(query), F.col("code_content")))
     packed = S.pack_budget(scored, "fragment_id", "file_path", "code_content", "score", max_tokens)

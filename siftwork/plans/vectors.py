@@ -10,8 +10,6 @@ from siftwork.operators import ann, clusters
 from siftwork.runtime import table
 
 DIM, TOP = 64, 10
-#: Bits of a bucket in the SQL of the pairs; the queries themselves compare all entries.
-PAIR_BITS = 12
 
 
 def _vectors(spark, folder) -> DataFrame:
@@ -67,9 +65,7 @@ def vec_filtered_after_limit(spark, folder):
 
 def vec_similarity_rows(spark, folder):
     """The rows of the similarity matrix that belong to the queries, 1 on the diagonal."""
-    v, q = _vectors(spark, folder), _queries(spark, folder)
-    s = F.when(F.col("id") == F.col("query"), 1.0).otherwise(F.round(V.cosine(F.col("qv"), F.col("v")), 5))
-    return v.join(q).select("query", "id", s.alias("score"))
+    return ann.similarity_rows(_vectors(spark, folder), _queries(spark, folder)).select("query", "id", F.round("score", 5).alias("score"))
 
 
 def vec_average_similarity(spark, folder):
@@ -98,18 +94,20 @@ def vec_ann_topk(spark, folder):
 
 
 def vec_duplicate_pairs(spark, folder):
-    """All pairs of entries of cosine above 0.9. The SQL of the same name has only those that share a bucket."""
-    return ann.all_similar_pairs(_entries(spark, folder), DIM, 0.9).select("a", "b", F.round("score", 5).alias("score"))
+    """The pairs of entries of cosine above 0.9, equal vectors standing as the first of them, to which the others are linked."""
+    return ann.linked(*ann.similar_classes(_entries(spark, folder), DIM, 0.9)).select("a", "b", F.round("score", 5).alias("score"))
 
 
 def vec_semantic_duplicates(spark, folder):
-    """All pairs of entries of cosine 0.8 and more. The SQL of the same name has only those that share a bucket."""
-    return ann.all_similar_pairs(_entries(spark, folder), DIM, 0.8, strict=False).select("a", "b", F.round("score", 5).alias("score"))
+    """The pairs of entries of cosine 0.8 and more, equal vectors standing as the first of them, to which the others are linked."""
+    return ann.linked(*ann.similar_classes(_entries(spark, folder), DIM, 0.8, strict=False)).select("a", "b", F.round("score", 5).alias("score"))
 
 
 def vec_leader_clusters(spark, folder):
-    v = _entries(spark, folder)
-    return clusters.leader_clusters(v, ann.all_similar_pairs(v, DIM, 0.75))
+    """The leader of each entry. Equal vectors have one leader, so the first of them is clustered for all."""
+    members, pairs = ann.similar_classes(_entries(spark, folder), DIM, 0.75)
+    found = clusters.leader_clusters(members.select(F.col("first").alias("id")), pairs)
+    return members.join(found.select(F.col("id").alias("first"), "leader"), "first").select("id", "leader")
 
 
 def vec_cluster_sizes(spark, folder):
@@ -178,7 +176,11 @@ def _index(bits: int) -> str:
 
 _INDEX = _index(ann.BITS)
 _ENTRIES = f"SELECT id, {_D('v')} AS v FROM (SELECT id, arg_max(struct_pack(e := embedding), updated_at).e AS v FROM vectors GROUP BY id) WHERE len(v) = {DIM} AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
-_LSH_PAIRS = f"WITH e AS ({_ENTRIES}), {_index(PAIR_BITS)}, pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM sig x JOIN sig y ON x.table_id = y.table_id AND x.bucket = y.bucket AND x.id < y.id), scored AS (SELECT a, b, list_cosine_similarity(x.v, y.v) AS score FROM pairs JOIN e x ON x.id = a JOIN e y ON y.id = b)"
+_CLASSES = f"WITH e AS ({_ENTRIES}), f AS (SELECT id, v, min(id) OVER (PARTITION BY v) AS first FROM e), c AS (SELECT id, v FROM f WHERE id = first), copies AS (SELECT first AS a, id AS b, 1.0::DOUBLE AS score FROM f WHERE id <> first), scored AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.v, y.v) AS score FROM c x JOIN c y ON x.id < y.id)"
+#: The buckets of a query, nearest first: its own with each set of bits flipped, by the sum of squared distances to their planes.
+_PROBED = f"""offs AS (SELECT id, t, list(list_inner_product(v, p) ORDER BY i) AS o FROM e, planes WHERE id % 20 = 0 GROUP BY id, t),
+        flips AS (SELECT id, t, f, list_sum(list_transform(range({ann.BITS}), lambda i: CASE WHEN (f >> i) & 1 = 1 THEN o[i + 1] * o[i + 1] ELSE 0 END)) AS cost, list_sum(list_transform(range({ann.BITS}), lambda i: CASE WHEN o[i + 1] >= 0 THEN 1 << i ELSE 0 END))::BIGINT AS own FROM offs, range({1 << ann.BITS}) k(f)),
+        probed AS (SELECT id, t::INT AS table_id, xor(own, f::BIGINT) AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY cost, f) AS n FROM flips) WHERE n <= {ann.PROBES})"""
 _STD = "sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m))) / len(v))"
 ORACLES = {f"vec_{n}_topk": _paired(s) + f" SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}" for n, s in _SIM.items()} | {
     "vec_threshold_search": _paired(_SIM["cosine"], "WHERE score >= 0.3") + f" SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}",
@@ -190,9 +192,9 @@ ORACLES = {f"vec_{n}_topk": _paired(s) + f" SELECT query, id, round(score, 5) +
     "vec_signatures": f"WITH e AS ({_ALL}), {_INDEX} SELECT id, table_id, bucket FROM sig",
     "vec_bucket_stats": f"WITH e AS ({_ALL}), {_INDEX}, n AS (SELECT count(*) AS n FROM sig GROUP BY table_id, bucket) SELECT (SELECT count(DISTINCT id) FROM sig) AS ids, count(*) AS buckets, avg(n) AS mean_size, list_sort(list(n))[count(*) // 2 + 1] AS median_size FROM n",
     "vec_candidates": f"WITH e AS ({_ALL}), {_INDEX} SELECT q.id AS query, count(DISTINCT s.id) AS n FROM sig q JOIN sig s ON s.table_id = q.table_id AND s.bucket = q.bucket WHERE q.id % 20 = 0 GROUP BY q.id",
-    "vec_ann_topk": f"WITH e AS ({_ALL}), {_INDEX}, c AS (SELECT DISTINCT q.id AS query, s.id AS id FROM sig q JOIN sig s ON s.table_id = q.table_id AND s.bucket = q.bucket AND s.id <> q.id WHERE q.id % 20 = 0), s AS (SELECT query, c.id, list_cosine_similarity(x.v, y.v) AS score FROM c JOIN e x ON x.id = query JOIN e y ON y.id = c.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.3) SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}",
-    "vec_duplicate_pairs": _LSH_PAIRS + " SELECT a, b, round(score, 5) + 0 AS score FROM scored WHERE score > 0.9",
-    "vec_semantic_duplicates": _LSH_PAIRS + " SELECT a, b, round(score, 5) + 0 AS score FROM scored WHERE score >= 0.8",
+    "vec_ann_topk": f"WITH e AS ({_ALL}), {_INDEX}, {_PROBED}, c AS (SELECT DISTINCT q.id AS query, s.id AS id FROM probed q JOIN sig s ON s.table_id = q.table_id AND s.bucket = q.bucket AND s.id <> q.id), s AS (SELECT query, c.id, list_cosine_similarity(x.v, y.v) AS score FROM c JOIN e x ON x.id = query JOIN e y ON y.id = c.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.3) SELECT query, id, round(score, 5) + 0 AS score FROM r WHERE rank <= {TOP}",
+    "vec_duplicate_pairs": _CLASSES + " SELECT a, b, round(score, 5) + 0 AS score FROM scored WHERE score > 0.9 UNION ALL SELECT * FROM copies",
+    "vec_semantic_duplicates": _CLASSES + " SELECT a, b, round(score, 5) + 0 AS score FROM scored WHERE score >= 0.8 UNION ALL SELECT * FROM copies",
     "vec_quantized": f"WITH e AS ({_ALL}), k AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS s FROM e) SELECT id, round(s, 8) AS scale, list_max(list_transform(v, lambda x: abs(x - round(x / s) * s))) <= s * 0.5000001::DOUBLE AS within_half FROM k",
     "vec_store_stats": "SELECT language, code_type, count(*) AS n, count(DISTINCT file_path) AS files FROM vectors GROUP BY GROUPING SETS ((language), (code_type), ())",
     "vec_by_file": "SELECT file_path, count(DISTINCT id) AS ids FROM vectors GROUP BY file_path",
