@@ -91,11 +91,12 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
 def _similarities(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The similarity of each row of ``q`` (m, dim) with each of ``x`` (n, dim), as the metric's column does it."""
     if metric in ("cosine", "dot"):
-        s = q @ x.T
+        # the last digits of a product depend on where in the matrix a vector stands; equal vectors must tie
+        s = np.round(q @ x.T, 12)
         if metric == "dot":
             return s
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
-        return np.clip(np.divide(s, n, out=np.zeros_like(s), where=n > 0), -1, 1)
+        return np.round(np.clip(np.divide(s, n, out=np.zeros_like(s), where=n > 0), -1, 1), 12)
     if metric == "jaccard":
         has, asked = (x > 0).astype(np.float64), (q > 0).astype(np.float64)
         both = asked @ has.T
@@ -421,7 +422,7 @@ def similar_classes(vectors: DataFrame, dim: int, threshold: float, strict: bool
     firsts = keep(classes.select("class_a", "class_b", "first"), "firsts")
     if exact:
         by_id = classes.select(F.col("first").alias("id"), F.col("embedding").alias("v"))
-        pairs = against_all(by_id, by_id, dim, scan_least(threshold), once=True)
+        pairs = against_all(by_id, by_id, dim, scan_least(threshold), once=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
     else:
         index = lists.fit(members, dim, threshold)
         if index is None:

@@ -232,10 +232,11 @@ def fit(df: DataFrame, dim: int, least: float, id_col: str = "id", vector_col: s
         chosen = df.where(F.col(id_col).isNotNull()).where(usable(F.col(vector_col), dim)).select(F.col(vector_col).alias("v")).limit(sample).toArrow()
     if not chosen.num_rows:
         return None
-    x = unit(chosen.column("v").combine_chunks(), dim)
+    # copies are one vector in the lists
+    x = np.unique(unit(chosen.column("v").combine_chunks(), dim), axis=0)
     index = Index(CentroidGraph.build(balanced_centroids(x, max(1, min(count, len(x) // 8)))), np.ones(1, np.int64), ratio, lists, SLACK * float(np.sqrt(max(0.0, 2 - 2 * least))))
     held = np.bincount(np.concatenate([index.select(x[k : k + 4096])[1] for k in range(0, len(x), 4096)]), minlength=len(index.graph.centroids))
-    index.blocks = np.maximum(1, -(-held * n // (len(x) * cell)))
+    index.blocks = np.maximum(1, -(-held * n // (chosen.num_rows * cell)))
     return index
 
 

@@ -68,6 +68,85 @@ def test_all_similar_pairs_equal_brute_force(spark, threshold, slice_size):
     assert {(r["a"], r["b"]) for r in ann.similar_pairs(vectors(spark, v), 64, threshold, bits=12).collect()} < want
 
 
+def skewed(n, seed, dim=64):
+    """Vectors of which a third crowd around one topic, some in pairs that are alike, some equal."""
+    rng = np.random.default_rng(seed)
+    topics = rng.normal(size=(40, dim))
+    x = topics[np.where(rng.random(n) < 0.33, 0, rng.integers(0, 40, n))] * 0.9 + rng.normal(size=(n, dim))
+    x[n // 2 : n // 2 + n // 4] = x[: n // 4] + rng.normal(size=(n // 4, dim)) * rng.uniform(0.05, 0.9, (n // 4, 1))
+    x[-n // 20 :] = x[0]
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.8, 0.9])
+def test_similar_classes_find_nearly_all_in_short_lists(spark, monkeypatch, threshold):
+    from siftwork.operators import lists
+
+    x = skewed(4000, 1)
+    df = spark.createDataFrame([(n, [float(e) for e in v]) for n, v in enumerate(x)] + [(None, [1.0] * 64)], "id long, v array<float>")
+    monkeypatch.setattr(lists.fit, "__defaults__", (*lists.fit.__defaults__[:2], lists.SAMPLE, 100, *lists.fit.__defaults__[4:6], 150))
+    members, pairs = ann.similar_classes(df, 64, threshold)
+    _, every = ann.similar_classes(df, 64, threshold, exact=True)
+    got, want = ({(r["a"], r["b"]) for r in p.collect()} for p in (pairs, every))
+    assert got <= want and len(got) >= 0.95 * len(want) > 400
+    assert all(a < b for a, b in got)
+    first = {r["id"]: r["first"] for r in members.collect()}
+    assert len(first) == 4000 and first[3999] == 0 and sum(k != v for k, v in first.items()) == 200
+    assert {(r["a"], r["b"]) for r in ann.linked(members, pairs).where("score = 1").collect()} >= {(0, k) for k in range(3800, 4000)}
+
+
+def test_centroids_hold_about_their_share():
+    from siftwork.operators import lists
+
+    x = np.unique(skewed(20_000, 2), axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = lists.balanced_centroids(x[np.random.default_rng(0).permutation(len(x))[:6400]], 200)
+    held = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    assert 180 <= len(c) <= 260 and held.max() < 3.5 * held.mean(), held.max() / held.mean()
+
+
+def test_a_crowded_list_is_compared_in_blocks(spark):
+    from siftwork.operators import lists
+
+    x = skewed(3000, 3)
+    df = spark.createDataFrame([(n, [float(e) for e in v]) for n, v in enumerate(x)], "id long, embedding array<float>").select("id", "embedding", F.xxhash64("embedding").alias("class_a"), F.xxhash64(F.lit(1), "embedding").alias("class_b"))
+    found = {}
+    for cell in (100_000, 250):
+        index = lists.fit(df, 64, 0.8, list_size=1500, cell=cell)
+        posted = lists.post(df, index, 64)
+        sizes = [r["count"] for r in posted.groupBy("list", "cell").count().collect()]
+        pairs = lists.alike_in_lists(posted, 64, 0.8).select("a_a", "b_a").collect()
+        near = lists.nearest_in_lists(posted, 64, 3, 0.8).select("a_a", "b_a").distinct().collect()
+        found[cell] = max(sizes), sorted(map(tuple, pairs)), sorted(map(tuple, near))
+    assert found[250][0] < 800 < found[100_000][0], "a cell holds two blocks at most"
+    assert found[250][1] == found[100_000][1] and len(found[250][1]) > 500
+    assert set(found[100_000][2]) <= set(found[250][2])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean", "manhattan", "jaccard"])
+def test_exact_topk_in_blocks_of_queries(spark, metric):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6))
+    x[50:60] = x[0]
+    df = vectors(spark, dict(enumerate(x)) | {400: None, 401: [1.0]})
+    q = df.where("id % 2 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    got, again = ([(r["query"], r["id"], r["rank"]) for r in ann.exact_topk(df, q, 3, metric, block=b).orderBy("query", "rank").collect()] for b in (4096, 30))
+    assert got == again and len(got) == 600
+    m = ann.METRICS[metric].similarity
+    pairs = df.join(q, F.size("v") == F.size("qv")).where("id <> query").select("query", "id", m(F.col("qv"), F.col("v")).alias("score"))
+    assert got == [(r["query"], r["id"], r["rank"]) for r in ann.top_per(pairs.withColumn("score", F.round("score", 10)), "query", 3).orderBy("query", "rank").collect()]
+    assert ann.similarity_rows(df, q, metric, block=30).count() == 200 * 400
+
+
+def test_many_exact_queries_need_no_cross_join(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(n, [float(e) for e in v]) for n, v in enumerate(rng.normal(size=(5000, 4)))], "id long, v array<double>")
+    found = ann.exact_topk(df, df.select(F.col("id").alias("query"), F.col("v").alias("qv")), 200)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert found.count() == 5000 * 200
+
+
 def test_pair_queries_equal_brute_force(spark, tmp_path):
     from siftwork.plans import vectors as P
 
