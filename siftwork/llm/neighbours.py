@@ -1,154 +1,26 @@
-"""The most similar vectors of every vector, over balanced posting lists.
+"""The most similar vectors of every vector, over balanced posting lists (``siftwork.operators.lists``).
 
-1. Centroids: a bounded sample is clustered top-down into parts of equal size, so that a topic with
-   many vectors has many centroids and posting lists are about equally long.
-2. Graph: each centroid is linked with its nearest; a search starts from the best of a few hubs and
-   walks the links, all vectors of a batch at once. Each task has the graph in memory.
-3. Lists: a vector goes to the lists of its nearest centroids whose distance is within a ratio of the
-   nearest one's: one list in a cluster's core, several at its boundary.
-4. Search: within a list all vectors are compared, and the best of all lists of a vector are kept.
+1. Centroids of equal share are fitted on a bounded sample and linked to a graph that each task has in memory.
+2. A vector is replicated to the lists of the centroids that the graph's walk finds and whose distance is within a ratio of the
+   nearest one's: one list in a cluster's core, several at its boundary. The same ratio prunes what it is looked for in.
+3. Within a list (of a crowded one, within two of its blocks) all vectors are compared, and the best of all lists of a vector are kept.
 
 Vectors that are equal number by number form one class, which goes to the lists once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.operators import ann
+from siftwork.operators import ann, lists
+from siftwork.operators.lists import LISTS, RATIO, SAMPLE, CentroidGraph, balanced_centroids, usable  # noqa: F401
 from siftwork.runtime import keep
 
-#: Vectors of the sample that centroids and graph are fitted on, at most, and for each centroid.
-SAMPLE, FOR_EACH = 262_144, 32
-#: Vectors for each list that are aimed at, and centroids at most (8 MB of 64 numbers, which a task holds).
-LIST_SIZE, CENTROIDS = 1000, 32_768
-#: Lists of a vector at most, and how much farther than the nearest a centroid may be.
-LISTS, RATIO = 5, 1.15
-#: Centroids up to which the walk on the graph finds nearly all nearest ones; among more, all are compared, which costs no more.
-WALKED = 1024
+#: Vectors nearest to each centroid, as aimed at.
+LIST_SIZE = lists.LIST_SIZE
 #: The cosine that a search without ``min_cosine`` uses the lists for: what is less alike is too seldom in a common list.
 NEAR = 0.85
-#: The least difference to the nearest centroid's distance that is allowed, as a share of the farthest neighbour's distance.
-SLACK = 0.25
-
-
-def balanced_centroids(sample: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
-    """About ``count`` unit centroids: the sample is halved along its two-means axis at the median, again and again, then two rounds of means."""
-    rng = np.random.default_rng(seed)
-    parts, out = [(np.arange(len(sample)), count)], []
-    while parts:
-        rows, want = parts.pop()
-        x = sample[rows]
-        if want <= 1 or len(rows) < 8:
-            out.append(x.mean(0))
-            continue
-        c = x[rng.choice(len(x), 2, replace=False)]
-        for _ in range(6):
-            near = x @ (c[0] - c[1]) > (c[0] @ c[0] - c[1] @ c[1]) / 2
-            if near.all() or not near.any():
-                c = x[rng.choice(len(x), 2, replace=False)]
-                continue
-            c = np.stack([x[near].mean(0), x[~near].mean(0)])
-        first = want // 2
-        order = np.argsort(-(x @ (c[0] - c[1])), kind="stable")
-        cut = len(rows) * first // want
-        parts += [(rows[order[:cut]], first), (rows[order[cut:]], want - first)]
-    c = np.stack(out)
-    for _ in range(2):
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        owner = np.concatenate([(sample[k : k + 512] @ c.T).argmax(1) for k in range(0, len(sample), 512)])
-        n = np.bincount(owner, minlength=len(c))
-        means = np.zeros_like(c)
-        np.add.at(means, owner, sample)
-        filled = n > 0
-        c[filled] = means[filled] / n[filled, None]
-    return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-
-
-@dataclass
-class CentroidGraph:
-    """Centroids with links to their nearest, and hubs to start from."""
-
-    centroids: np.ndarray
-    links: np.ndarray
-    hubs: np.ndarray
-
-    @classmethod
-    def build(cls, centroids: np.ndarray, degree: int = 24, seed: int = 2) -> CentroidGraph:
-        n = len(centroids)
-        # with more centroids a walk is longer, and each step must see more
-        degree = min(degree if n <= 1024 else degree + 8, max(n - 1, 0))
-        links = np.zeros((n, degree), np.int32)
-        for k in range(0, n if degree else 0, 256):
-            s = centroids[k : k + 256] @ centroids.T
-            s[np.arange(len(s)), np.arange(k, k + len(s))] = -2
-            links[k : k + 256] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
-        hubs = np.random.default_rng(seed).permutation(n)[: max(1, min(n, int(8 * np.sqrt(n))))]
-        return cls(centroids, links, np.sort(hubs).astype(np.int32))
-
-    def nearest(self, x: np.ndarray, k: int, beam: int = 24, hops: int | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the ``k`` nearest centroids that the walk finds, nearest first, and their cosines.
-
-        Of the ``beam`` best that a row has seen, each hop opens the ``width`` best that aren't open yet, until all are
-        open (or for ``hops``). Among more than WALKED centroids even that misses many, so there all are compared.
-        """
-        if hops is None and len(self.centroids) > WALKED:
-            return self.nearest_of_all(x, k)
-        beam = max(beam, k)
-        hub_sims = x @ self.centroids[self.hubs].T
-        first = min(beam, len(self.hubs))
-        top = np.argpartition(-hub_sims, first - 1, axis=1)[:, :first]
-        ids, sims = np.full((len(x), beam), self.hubs[0]), np.full((len(x), beam), -2, np.float32)
-        ids[:, :first], sims[:, :first] = self.hubs[top], np.take_along_axis(hub_sims, top, 1)
-        opened = sims < -1.5
-        going, hop = np.arange(len(x) if self.links.shape[1] else 0), 0
-        while len(going) and (hops is None or hop < hops):
-            hop += 1
-            i, s, o = ids[going], sims[going], opened[going]
-            closed = np.where(o, -3, s)
-            best = np.argpartition(-closed, min(width, beam) - 1, axis=1)[:, :width]
-            np.put_along_axis(o, best, True, 1)
-            more = self.links[np.take_along_axis(i, best, 1)].reshape(len(going), -1)
-            found = np.matmul(self.centroids[more], x[going][:, :, None])[:, :, 0]
-            i, s, o = np.concatenate([i, more], 1), np.concatenate([s, found], 1), np.concatenate([o, np.zeros(more.shape, bool)], 1)
-            # of what was seen twice, the one that is open stays
-            order = np.argsort(i.astype(np.int64) * 2 + ~o, axis=1)
-            i, s, o = (np.take_along_axis(v, order, 1) for v in (i, s, o))
-            twice = i[:, 1:] == i[:, :-1]
-            s[:, 1:][twice], o[:, 1:][twice] = -2, True
-            top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
-            ids[going], sims[going], opened[going] = (np.take_along_axis(v, top, 1) for v in (i, s, o))
-            # a row goes on as long as it has seen something among its best that isn't open
-            going = going[~opened[going].all(1)]
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-
-
-    def nearest_of_all(self, x: np.ndarray, k: int, group: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """As ``nearest``, among all centroids: the nearest are in the ``k`` groups of the greatest maxima."""
-        n = len(self.centroids)
-        groups = -(-n // group)
-        s = np.full((len(x), groups * group), -2, np.float32)
-        np.matmul(x, self.centroids.T, out=s[:, :n])
-        s = s.reshape(len(x), groups, group)
-        most = min(k, groups)
-        best = np.argpartition(-s.max(2), most - 1, axis=1)[:, :most]
-        ids = (best[:, :, None] * group + np.arange(group)).reshape(len(x), -1)
-        sims = np.take_along_axis(s, best[:, :, None], 1).reshape(len(x), -1)
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-
-
-def usable(embedding: Column, dim: int) -> Column:
-    """Whether a vector has ``dim`` finite numbers that aren't all zero. Never null."""
-    finite = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return F.coalesce((F.size(embedding) == dim) & finite & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
 def current_entries(df: DataFrame, dim: int, vectors: bool = True) -> DataFrame:
@@ -164,80 +36,9 @@ def current_entries(df: DataFrame, dim: int, vectors: bool = True) -> DataFrame:
     return rows.groupBy("id").agg(top.alias("top")).where("top.ok").select("id", *[f"top.{c}" for c in kept[1:]])
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dim)
-    return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-
-
-def fit_graph(df: DataFrame, dim: int, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> CentroidGraph | None:
-    """Centroids and graph for the entries, from the rows whose id has the least hashes; None without usable vectors."""
-    rows = df.where("id IS NOT NULL").where(usable(F.col("embedding"), dim))
-    n = rows.count()
-    if not n:
-        return None
-    count = max(1, min(CENTROIDS, n // list_size))
-    sample = min(sample, FOR_EACH * count)
-    # a share of the rows first, so that the ordering sees about as many rows as the sample has, however many there are
-    if n > 2 * sample:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(n // sample)) == 0)
-    chosen = rows.select(F.xxhash64("id", F.lit(11)).alias("h"), "embedding").orderBy("h").limit(sample).select("embedding")
-    x = _unit(chosen.toArrow().column("embedding").combine_chunks(), dim)
-    return CentroidGraph.build(balanced_centroids(x, max(1, min(count, len(x) // 8))))
-
-
-def class_neighbours(entries: DataFrame, graph: CentroidGraph, dim: int, k: int, min_cosine: float, lists: int = LISTS, ratio: float = RATIO) -> DataFrame:
+def class_neighbours(entries: DataFrame, index: lists.Index, dim: int, k: int, min_cosine: float) -> DataFrame:
     """``a_a, a_b, b_a, b_b, cosine``: for each class of equal vectors the ``k`` most similar other classes of at least ``min_cosine`` that share a list."""
-    shared = entries.sparkSession.sparkContext.broadcast(graph)  # CENTROIDS bounds its size
-    # a neighbour may be this far off, so a vector right at its centroid needs more than a share of next to nothing
-    slack = SLACK * float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
-        seen: set[tuple[int, int]] = set()
-        for whole in batches:
-            # a class goes to its lists once from each task, however many members it has there
-            if len(seen) > 1_000_000:
-                seen.clear()
-            keys = list(zip(whole.column("class_a").to_pylist(), whole.column("class_b").to_pylist()))
-            new = [n for n, key in enumerate(keys) if key not in seen and not seen.add(key)]
-            whole = whole.take(pa.array(new, pa.int64()))
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                x = _unit(b.column("embedding"), dim)
-                ids, sims = g.nearest(x, min(lists, len(g.centroids)))
-                distance = np.sqrt(np.maximum(2 - 2 * sims, 0))
-                row, nth = np.nonzero(distance <= np.maximum(ratio * distance[:, :1], distance[:, :1] + slack) + 1e-6)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, nth].astype(np.int32)), b.column("class_a").take(at), b.column("class_b").take(at), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]).tobytes())]).cast(pa.binary())], names=["list", "class_a", "class_b", "vector"])
-
-    posted = entries.select("class_a", "class_b", "embedding").mapInArrow(assign, "list int, class_a long, class_b long, vector binary")
-
-    def search(t: pa.Table) -> pa.Table:
-        keys = np.stack([np.asarray(t.column("class_a")), np.asarray(t.column("class_b"))], 1)
-        once = np.unique(keys, axis=0, return_index=True)[1]
-        if len(once) < t.num_rows:
-            t = t.take(pa.array(once))
-        n = t.num_rows
-        x = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(n, dim)
-        rows, others, cosines = [], [], []
-        for start in range(0, n, 512):
-            s = x[start : start + 512] @ x.T
-            s[np.arange(len(s)), np.arange(start, start + len(s))] = -2
-            r, o = np.nonzero(s >= min_cosine - 1e-4)
-            # numbers of float accuracy are settled in double accuracy
-            c = np.einsum("nd,nd->n", x[start + r].astype(np.float64), x[o].astype(np.float64))
-            order = np.lexsort((o, -c, r))
-            r, o, c = r[order], o[order], c[order]
-            nth = np.arange(len(r)) - np.searchsorted(r, r)
-            hit = (nth < k) & (c >= min_cosine - 1e-7)
-            rows.append(start + r[hit])
-            others.append(o[hit])
-            cosines.append(c[hit])
-        r, o, c = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, others, cosines))
-        a, b = np.asarray(t.column("class_a")), np.asarray(t.column("class_b"))
-        return pa.table({"a_a": a[r], "a_b": b[r], "b_a": a[o], "b_b": b[o], "cosine": c.astype(np.float64)})
-
-    found = posted.groupBy("list").applyInArrow(search, "a_a long, a_b long, b_a long, b_b long, cosine double")
+    found = lists.nearest_in_lists(lists.post(entries, index, dim), dim, k, min_cosine)
     once = found.groupBy("a_a", "a_b", "b_a", "b_b").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("a_a", "a_b").orderBy(F.desc("cosine"), "b_a", "b_b"))
     return once.withColumn("__n", rank).where(F.col("__n") <= k).drop("__n")
@@ -256,7 +57,7 @@ def all_class_neighbours(entries: DataFrame, near: DataFrame, dim: int, k: int)
     return kept.unionByName(found)
 
 
-def neighbours(df: DataFrame, k: int = 5, min_cosine: float | None = 0.85, dim: int = 64, lists: int = LISTS, ratio: float = RATIO, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+def neighbours(df: DataFrame, k: int = 5, min_cosine: float | None = 0.85, dim: int = 64, most_lists: int = LISTS, ratio: float = RATIO, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
     """``id``, ``neighbour``, ``cosine``, ``rank``: for every current entry its ``k`` most similar entries of at least ``min_cosine``; with None its ``k`` most similar, however far.
 
     Ties are ranked by the neighbour's id. Equal vectors are each other's first neighbours; of a class of equal
@@ -266,13 +67,14 @@ def neighbours(df: DataFrame, k: int = 5, min_cosine: float | None = 0.85, dim:
     Unusable vectors, null ids: see ``current_entries``. An empty table gives an empty result; other columns aren't read.
     """
     out = "id string, neighbour string, cosine double, rank int"
-    graph = fit_graph(df, dim, sample, list_size)
-    if graph is None:
+    least = NEAR if min_cosine is None else min_cosine
+    index = lists.fit(df, dim, least, sample=sample, list_size=list_size, ratio=ratio, lists=most_lists)
+    if index is None:
         return df.sparkSession.createDataFrame([], out)
     entries = current_entries(df, dim)
     if min_cosine is None:
         entries = keep(entries, "entries")
-    classes = keep(class_neighbours(entries, graph, dim, k, NEAR if min_cosine is None else min_cosine, lists, ratio), "neighbours")
+    classes = keep(class_neighbours(entries, index, dim, k, least), "neighbours")
     if min_cosine is None:
         classes = keep(all_class_neighbours(entries, classes, dim, k), "neighbours")
     members = current_entries(df, dim, vectors=False)
