@@ -184,3 +184,11 @@ def relevant_sections(kind: Column, content: Column) -> Column:
     for k, signs in reversed(SECTIONS.items()):
         out = F.when(kind == k, F.array_compact(F.array(*[F.when(F.contains(content, F.lit(s)), label) for s, label in signs.items()]))).otherwise(out)
     return out
+
+
+def function_context(name: Column, path: Column, context: Column) -> Column:
+    """What a function's surroundings tell: lines, complexity, scope, and what it depends on; null without a context."""
+    from siftwork.functions.extract import dependencies
+
+    facts = F.struct(name.alias("name"), path.alias("path"), F.lit(1).alias("line_start"), F.greatest(line_count(context), F.lit(1)).alias("line_end"), weighted_complexity(context).alias("complexity"), impact_scope(context).alias("scope"), dependencies(context).alias("dependencies"))
+    return F.when(context.isNotNull(), facts)

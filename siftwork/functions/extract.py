@@ -183,3 +183,60 @@ def manifest_dependencies(text: Column) -> Column:
 def framework(packages: Column) -> Column:
     has = lambda k: F.coalesce(F.map_contains_key(packages, F.lit(k)), F.lit(False))
     return F.when(has("@angular/core"), "Angular").when(has("react"), "React").when(has("vue"), "Vue").otherwise("Unknown")
+
+
+#: Parts of the names of methods that keep state, and what the body of such a method does.
+STATE_WORDS = ("update", "set", "clear", "reset", "init", "store", "load", "refresh", "state", "auth", "user", "loading", "next", "emit", "trigger")
+STATE_CALLS = (".next(", ".emit(", ".update(", "BehaviorSubject", "Subject")
+
+
+def keeps_state(name: Column, text: Column, reach: int = 10) -> Column:
+    """Whether a method keeps state: by a word in its name, or a call within ``reach`` lines from where the name first stands before a bracket."""
+    called = F.concat(name, F.lit("("))
+    at = F.instr(text, called)
+    body = F.array_join(F.slice(lines(F.substring(text, at, F.length(text))), 1, reach), " ")
+    return contains_any(F.lower(name), STATE_WORDS) | F.when(at > 0, contains_any(body, STATE_CALLS)).otherwise(False)
+
+
+def state_methods(text: Column) -> Column:
+    """Names before the bracket of lines that open or declare a method that keeps state, in order."""
+    heads = F.filter(_trimmed(text), lambda x: ~contains_any(x, ("fn ", "function ")) & F.contains(x, F.lit("(")) & contains_any(x, ("):", ") {")))
+    names = F.transform(heads, lambda x: F.regexp_extract(F.substring_index(x, "(", 1), r"(\S+)\s*$", 1))
+    return F.filter(names, lambda n: (n != "") & keeps_state(n, text))
+
+
+def pipe_info(text: Column) -> Column:
+    """Class, pipe name, whether pure and standalone, parameters and return type of ``transform`` of a pipe; null without its decorator."""
+    head = r"(?s)transform\s*\(([^)]*)\)\s*(?::\s*([^{;]*?))?\s*\{"
+    info = F.struct(
+        F.get(class_names(text), 0).alias("name"),
+        F.nullif(F.regexp_extract(text, r"(?s)@Pipe\s*\(\s*\{[^}]*?name:\s*['\"]([^'\"]+)['\"]", 1), F.lit("")).alias("pipe_name"),
+        (~F.rlike(text, F.lit(r"pure:\s*false"))).alias("is_pure"),
+        F.rlike(text, F.lit(r"standalone:\s*true")).alias("is_standalone"),
+        F.filter(F.transform(F.split(F.regexp_extract(text, head, 1), ","), lambda x: F.trim(x)), lambda x: x != "").alias("parameters"),
+        F.coalesce(F.nullif(F.trim(F.regexp_extract(text, head, 2)), F.lit("")), F.lit("any")).alias("returns"),
+    )
+    return F.when(F.contains(text, F.lit("@Pipe")), info)
+
+
+def transform_signature(info: Column) -> Column:
+    return F.concat(F.lit("transform("), F.array_join(info["parameters"], ", "), F.lit("): "), info["returns"])
+
+
+#: What a pipe is used for, by a part of its name.
+PIPE_USES = {
+    "date": ("Date formatting", "Locale-specific dates"),
+    "currency": ("Currency formatting", "Locale-specific currency"),
+    "upper": ("Text transformation", "String manipulation"),
+    "lower": ("Text transformation", "String manipulation"),
+    "async": ("Async data handling", "Observable transformation"),
+}
+PIPE_USE = ("Data transformation", "Template formatting")
+
+
+def pipe_uses(name: Column) -> Column:
+    """Two uses of a pipe, by the first part that its name has."""
+    out = F.array(*map(F.lit, PIPE_USE))
+    for part, uses in reversed(PIPE_USES.items()):
+        out = F.when(F.contains(F.lower(name), F.lit(part)), F.array(*map(F.lit, uses))).otherwise(out)
+    return F.when(name.isNotNull(), out)

@@ -33,6 +33,7 @@ FUNCTION_NAMES: Sequence[Rule] = (
     ("contains", ("async", "await"), "asynchronous operation"),
     ("else", (), "general purpose function"),
 )
+#: Fixed values, as above.
 PARAMETER_NAMES: Sequence[Rule] = (
     ("is", ("self",), "instance reference"),
     ("is", ("id", "uuid", "key"), "identifier"),
@@ -45,6 +46,7 @@ PARAMETER_NAMES: Sequence[Rule] = (
     ("contains", ("callback", "handler"), "callback function"),
     ("else", (), "parameter"),
 )
+#: Fixed values, as above.
 TYPE_NAMES: Sequence[Rule] = (
     ("is", ("Result<T, E>", "Result<()>"), "error-handling result"),
     ("is", ("Option<T>",), "optional value"),
@@ -68,6 +70,7 @@ TYPE_NAMES: Sequence[Rule] = (
     ("ends", ("Builder",), "builder pattern object"),
     ("else", (), "custom type"),
 )
+#: Fixed values, as above.
 DERIVES: Sequence[Rule] = (
     ("is", ("Debug",), "debug printing support"),
     ("is", ("Clone",), "value cloning capability"),
@@ -80,6 +83,7 @@ DERIVES: Sequence[Rule] = (
     ("is", ("Display",), "formatted display output"),
     ("else", (), "code generation"),
 )
+#: Fixed values, as above.
 ATTRIBUTES: Sequence[Rule] = (
     ("contains", ("derive",), "automatic trait implementation"),
     ("contains", ("cfg",), "conditional compilation"),
@@ -92,6 +96,7 @@ ATTRIBUTES: Sequence[Rule] = (
     ("contains", ("deprecated",), "deprecation warning"),
     ("else", (), "compiler directive"),
 )
+#: Fixed values, as above.
 FIELD_NAMES: Sequence[Rule] = (
     ("is", ("id", "uuid", "key"), "unique identifier"),
     ("is", ("name", "title", "label"), "display name"),
@@ -111,6 +116,7 @@ FIELD_NAMES: Sequence[Rule] = (
     ("contains", ("handler", "callback"), "function reference"),
     ("else", (), "data field"),
 )
+#: Fixed values, as above.
 CLUSTER_NAMES: Sequence[Rule] = (("contains", ("get", "fetch"), "Data Access"), ("contains", ("validate", "check"), "Validation"), ("contains", ("format", "transform"), "Transformation"), ("else", (), "Utility"))
 
 
@@ -151,3 +157,27 @@ def rules_sql(text: str, rules: Sequence[Rule]) -> str:
     for how, words, label in rules:
         parts.append(f"ELSE '{label}'" if how == "else" else "WHEN " + " OR ".join(test[how].format(t=text, w=w) for w in words) + f" THEN '{label}'")
     return "CASE " + " ".join(parts) + " END"
+
+
+def function_text(name: Column, parameters: Column, returns: Column, is_async: Column, modifiers: Column, path: Column, body: Column) -> Column:
+    """A function as a text to search: signature, file, purpose, body, and what parameters and return type stand for; parts that are missing are left out."""
+    given = F.coalesce(F.size(parameters), F.lit(0)) > 0
+    kind = lambda p: F.coalesce(p["param_type"], F.lit(""))
+    pairs = F.array_join(F.transform(parameters, lambda p: F.concat(p["name"], F.lit(": "), kind(p))), ", ")
+    known = F.filter(F.coalesce(modifiers, F.array().cast("array<string>")), lambda m: m.isin("pub", "unsafe", "const"))
+    before = F.array_join(F.concat(F.when(F.coalesce(is_async, F.lit(False)), F.array(F.lit("async"))).otherwise(F.array().cast("array<string>")), known), " ")
+    said = F.concat(F.lit("fn "), name, F.when(given, F.concat(F.lit("("), pairs, F.lit(")"))).otherwise(""), F.when(F.coalesce(returns, F.lit("")) != "", F.concat(F.lit(" -> "), returns)).otherwise(""))
+
+    def told(p: Column) -> Column:
+        purpose = by_rules(p["name"], PARAMETER_NAMES)
+        return F.concat(p["name"], F.lit(": "), kind(p), F.lit(" ("), F.when(purpose != "parameter", purpose).otherwise(by_rules(kind(p), TYPE_NAMES)), F.lit(")"))
+
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("FUNCTION: "), F.when(before != "", F.concat(before, F.lit(" "), said)).otherwise(said)),
+        F.concat(F.lit("FILE: "), path),
+        F.concat(F.lit("PURPOSE: "), by_rules(F.lower(name), FUNCTION_NAMES)),
+        F.when(body != "", F.concat(F.lit("IMPLEMENTATION:\n"), body)),
+        F.when(given, F.concat(F.lit("PARAMETERS: "), F.array_join(F.transform(parameters, told), ", "))),
+        F.when(returns != "", F.concat(F.lit("RETURNS: "), returns, F.lit(" ("), by_rules(returns, TYPE_NAMES), F.lit(")"))),
+    )

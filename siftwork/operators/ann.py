@@ -89,7 +89,15 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _similarities(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The similarity of each row of ``q`` (m, dim) with each of ``x`` (n, dim), as the metric's column does it."""
+    """The similarity of each row of ``q`` (m, dim) with each of ``x`` (n, dim), as the metric's column does it; a vector with numbers that aren't finite has none (-inf)."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        score = _measured(metric, x, q)
+    score[:, ~np.isfinite(x).all(1)] = -np.inf
+    score[~np.isfinite(q).all(1)] = -np.inf
+    return score
+
+
+def _measured(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if metric in ("cosine", "dot"):
         # the last digits of a product depend on where in the matrix a vector stands; equal vectors must tie
         s = np.round(q @ x.T, 12)
@@ -209,8 +217,8 @@ def similarity_rows(vectors: DataFrame, queries: DataFrame, metric: str = "cosin
                     some = which[first : first + 64]
                     q = np.asarray(given.take(pa.array(some)).flatten(), dtype=np.float64).reshape(-1, dim)
                     score = _similarities(metric, x, q)
-                    r, c = (n.ravel() for n in np.indices(score.shape))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some[r])), own.take(pa.array(c)), pa.array(score.ravel())], names=["query", "id", "score"])
+                    r, c = np.nonzero(score > -np.inf)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some[r])), own.take(pa.array(c)), pa.array(score[r, c])], names=["query", "id", "score"])
 
         part = _plain(vectors.select("id", "v"), "v", None).mapInArrow(run, f"query {query_kind}, id {kind}, score double")
         out = part if out is None else out.unionByName(part)

@@ -60,6 +60,26 @@ def hit_rate(looked_up: DataFrame) -> DataFrame:
     return looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.when(n == 0, 0.0).otherwise(F.count_if("hit") / n).alias("hit_rate"))
 
 
+def first_and_rest(table: DataFrame, column: str, most: int = 10) -> DataFrame:
+    """``n``, ``line``: the first ``most`` values in order, and how many more there are. One row of counts and ``most`` rows are all that is sorted."""
+    named = table.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("line"))
+    first = named.orderBy("line").limit(most).withColumn("n", F.row_number().over(Window.orderBy("line")).cast("long"))
+    more = named.agg(F.count("*").alias("all")).where(F.col("all") > most).select(F.format_string("... and %d more", F.col("all") - most).alias("line"), F.lit(most + 1).cast("long").alias("n"))
+    return first.unionByName(more).select("n", "line")
+
+
+def of_model(table: DataFrame, model: str) -> DataFrame:
+    """The responses of one model."""
+    return table.where(F.col("model_type") == model)
+
+
+def pre_warm(table: DataFrame, responses: DataFrame, config: str = "default") -> DataFrame:
+    """A response cache (``prompt_hash, response, model_type, hit_count``) with ``responses`` (``prompt, response, model_type``) put in; of several for one hash the greatest response."""
+    new = responses.select(prompt_hash(F.col("prompt"), F.col("model_type"), F.lit(config)).alias("prompt_hash"), "response", "model_type")
+    new = new.groupBy("prompt_hash").agg(F.max(F.struct("response", "model_type")).alias("r")).select("prompt_hash", "r.response", "r.model_type", F.lit(0).cast("long").alias("hit_count"))
+    return upsert(table.select("prompt_hash", "response", "model_type", "hit_count"), new, "prompt_hash")
+
+
 class VersionedTable:
     """A table below ``folder`` in numbered versions; the newest complete one holds."""
 

@@ -182,3 +182,33 @@ def keyword_total(text: Column, parts: Sequence[str]) -> Column:
     for p in parts:
         out = out + count_of(text, p)
     return out
+
+
+def relevance_reason(question: Column, text: Column) -> Column:
+    """Why a text fits a question: the first kind of thing that both name."""
+    q, t = F.lower(question), F.lower(text)
+    both = lambda w: F.contains(q, F.lit(w)) & F.contains(t, F.lit(w))
+    return (
+        F.when(both("function"), "Contains function definitions matching the query")
+        .when(both("class"), "Contains class definitions matching the query")
+        .when(both("api"), "Contains API-related code matching the query")
+        .when(q.isNotNull() & t.isNotNull(), "Contains code patterns relevant to the query")
+    )
+
+
+def filters_of(kind: str, value: str | None = None) -> Filters:
+    """The filters that a type of search stands for: similar_code (a language), similar_functions, similar_components (a framework), file_context (a path) or general."""
+    from siftwork.functions.classify import LANGUAGES
+
+    if kind == "general":
+        return Filters()
+    if kind == "similar_functions":
+        return Filters(code_types=("Function",))
+    if kind not in ("similar_code", "similar_components", "file_context") or not value:
+        raise ValueError(f"no search of type {kind} with {value!r}")
+    if kind == "similar_code":
+        return Filters(languages=(value,))
+    if kind == "similar_components":
+        return Filters(code_types=("Component",), languages=(value,))
+    language = LANGUAGES.get(value.rpartition(".")[2].lower()) if "." in value.rpartition("/")[2] else None
+    return Filters(languages=None if language is None else (language,))

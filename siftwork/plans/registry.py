@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.plans import changes, functions, reports, search, sources, streams, tools, vectors
+from siftwork.plans import changes, facts, functions, reports, search, sources, streams, tools, vectors
 
-_MODULES = (changes, sources, vectors, search, reports, streams, functions, tools)
+_MODULES = (changes, sources, vectors, search, reports, streams, functions, tools, facts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -302,3 +302,19 @@ ORACLES = {
     "frag_architecture": "SELECT kind, count(*) AS n, count(DISTINCT file_path) AS files FROM (SELECT *, CASE WHEN contains(file_path, 'service') THEN 'service' WHEN contains(file_path, 'component') THEN 'component' WHEN contains(file_path, 'guard') THEN 'guard' WHEN contains(file_path, 'interceptor') THEN 'interceptor' END AS kind FROM code_fragments) WHERE kind IS NOT NULL GROUP BY kind HAVING count(*) > 1",
     "frag_names": r"SELECT fragment_id, CASE WHEN starts_with(line, 'function ') THEN regexp_extract(line, '^function\s+([^\s(]+)', 1) WHEN contains(line, '=>') THEN regexp_extract(string_split(line, '=')[1], '(\S+)\s*$', 1) ELSE regexp_replace(regexp_extract(string_split(line, '(')[1], '(\S+)\s*$', 1), ':+$', '') END AS name FROM (SELECT fragment_id, trim(regexp_extract(code_content, '^([^\r\n]*)', 1), ' ') AS line FROM " + _FRAGMENTS + ")",
 }
+
+_STATE = rf"""WITH f AS (SELECT path, list_transform({_LIST('content')}, lambda x: trim(x)) AS l FROM {_INJECTABLE}),
+    g AS (SELECT path,
+        list_filter(list_transform(l, lambda x: struct_pack(name := regexp_extract(x, '^[^=]*?(\S+)\s*=', 1),
+            kind := CASE WHEN contains(x, 'BehaviorSubject') THEN 'BehaviorSubject' WHEN contains(x, 'ReplaySubject') THEN 'ReplaySubject' WHEN contains(x, 'AsyncSubject') THEN 'AsyncSubject' WHEN contains(x, 'Subject') THEN 'Subject' WHEN contains(x, 'writableSignal(') THEN 'WritableSignal' WHEN contains(x, 'signal(') THEN 'Signal' WHEN contains(x, 'computed(') THEN 'ComputedSignal' END,
+            hidden := contains(x, 'private ') OR NOT contains(x, 'readonly '))), lambda r: r.kind IS NOT NULL AND r.name <> '') AS s,
+        list_filter(list_transform(l, lambda x: struct_pack(name := CASE
+            WHEN contains(x, '$') AND (contains(x, '=') OR contains(x, 'asObservable') OR contains(x, 'pipe')) THEN regexp_extract(x, '^[^$]*?([^\s$]*\$)', 1)
+            WHEN contains(x, '=') AND regexp_matches(x, ': (?:Observable|BehaviorSubject|Subject|ReplaySubject|AsyncSubject)<') THEN regexp_extract(x, '^[^:]*?([^\s:]+)\s*:', 1)
+            WHEN contains(x, '=') AND regexp_matches(x, 'asObservable\(\)|\.pipe\(|new (?:Observable|BehaviorSubject|Subject)\(|this\.http\.(?:get|post|put|delete)|computed\(') THEN regexp_extract(x, '^[^=]*?(\S+)\s*=', 1) ELSE '' END,
+            fixed := contains(x, 'readonly '))), lambda r: r.name <> '') AS o FROM f)"""
+_FIXED = "len(list_filter(o, lambda r: r.fixed)) > 0"
+ORACLES |= {
+    "src_state": f"{_STATE} SELECT path, len(s) AS properties, len(o) AS observables, {_FIXED} AS any_readonly, array_to_string(list_transform(s, lambda r: r.kind), ',') AS kinds FROM g",
+    "src_state_patterns": f"{_STATE}, a AS (SELECT count(*) FILTER (len(list_filter(s, lambda r: r.kind = 'BehaviorSubject')) > 0) AS \"BehaviorSubject\", count(*) FILTER (len(o) > 0) AS \"Observable\", count(*) FILTER ({_FIXED}) AS \"Readonly observable\", coalesce(sum(len(list_filter(o, lambda r: ends_with(r.name, '$')))), 0)::BIGINT AS \"Dollar suffix\", count(*) FILTER (len(list_filter(s, lambda r: r.hidden)) > 0 AND {_FIXED}) AS \"Encapsulation\" FROM g) SELECT pattern, n FROM (UNPIVOT a ON * INTO NAME pattern VALUE n) WHERE n > 0",
+}

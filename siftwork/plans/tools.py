@@ -7,12 +7,13 @@ and their defaults: the form in which a server or a notebook calls the engine by
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from siftwork.operators import ann, scanners
 from siftwork.operators import search as S
@@ -106,22 +107,33 @@ def impact(spark, folder, path):
     return reports.impact_files(spark, folder).where(F.contains("path", F.lit(path)))
 
 
-@udtf(returnType="function_name: string, code_content: string, function_signature: string, line_start: int, line_end: int")
+def _scanned(batch: pa.RecordBatch, scanner: Callable, schema: pa.Schema, **options: object) -> pa.Table:
+    keys, rows = [], []
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for row in scanner(text, **options) if text else ():
+            keys.append(key)
+            rows.append(row)
+    return pa.Table.from_pylist(rows, schema=schema).add_column(0, "key", pa.array(keys, pa.string()))
+
+
+_BLOCKS = pa.schema([("function_name", pa.string()), ("code_content", pa.string()), ("function_signature", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
+_PATTERNS = pa.schema([("kind", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("complexity", pa.float64()), ("content", pa.string())])
+
+
+@arrow_udtf(returnType="key: string, function_name: string, code_content: string, function_signature: string, line_start: int, line_end: int")
 class FunctionBlocks:
-    def eval(self, text: str, least_bytes: int):
-        for r in scanners.blocks(text or "", least_bytes):
-            yield tuple(r.values())
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        yield _scanned(batch, scanners.blocks, _BLOCKS, least_bytes=30)
 
 
-@udtf(returnType="kind: string, line_start: int, line_end: int, complexity: double, content: string")
+@arrow_udtf(returnType="key: string, kind: string, line_start: int, line_end: int, complexity: double, content: string")
 class CodePatterns:
-    def eval(self, text: str):
-        for r in scanners.patterns(text or ""):
-            yield tuple(r.values())
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        yield _scanned(batch, scanners.patterns, _PATTERNS)
 
 
 def register_table_functions(spark: SparkSession) -> None:
-    """``function_blocks(text, least_bytes)`` and ``code_patterns(text)`` for SQL, to be used with LATERAL."""
+    """``function_blocks(TABLE(...))`` and ``code_patterns(TABLE(...))`` for SQL, of a table whose first two columns are a key and a text. They take whole Arrow batches."""
     spark.udtf.register("function_blocks", FunctionBlocks)
     spark.udtf.register("code_patterns", CodePatterns)
 
@@ -130,7 +142,7 @@ def fragments_by_sql(spark, folder):
     """The functions of all files by a table function in SQL."""
     register_table_functions(spark)
     table(spark, folder, "source_files").createOrReplaceTempView("__sources")
-    return spark.sql("SELECT s.path, f.function_name, f.line_start, f.line_end FROM __sources s, LATERAL function_blocks(s.content, 30) f WHERE s.content IS NOT NULL AND (s.path LIKE '%.ts' OR s.path LIKE '%.js')")
+    return spark.sql("SELECT key AS path, function_name, line_start, line_end FROM function_blocks(TABLE(SELECT path, content FROM __sources WHERE content IS NOT NULL AND (path LIKE '%.ts' OR path LIKE '%.js')))")
 
 
 def tool_search(spark, folder):

@@ -77,14 +77,26 @@ def is_fresh(sources: DataFrame, indexed_at) -> DataFrame:
     return sources.agg((~F.coalesce(F.max("last_modified") > F.lit(indexed_at), F.lit(False))).alias("fresh"))
 
 
-def report_json(df: DataFrame) -> str:
-    """A report (few rows) as indented JSON."""
-    return json.dumps([json.loads(x) for x in df.toJSON().collect()], indent=2, ensure_ascii=False)
+#: Rows of a report at most, unless more are asked for.
+REPORT_ROWS = 10_000
 
 
-def report_text(title: str, df: DataFrame, markdown: bool = False) -> str:
-    """A report (few rows) as plain or Markdown text."""
-    rows = [r.asDict() for r in df.collect()]
+def _few(df: DataFrame, most: int) -> list:
+    """The rows of a report; an error, and not a part of them, if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: write it with export(), or give a greater limit")
+    return rows
+
+
+def report_json(df: DataFrame, most: int = REPORT_ROWS) -> str:
+    """A report of at most ``most`` rows as indented JSON."""
+    return json.dumps([json.loads(r[0]) for r in _few(df.select(F.to_json(F.struct(*df.columns))), most)], indent=2, ensure_ascii=False)
+
+
+def report_text(title: str, df: DataFrame, markdown: bool = False, most: int = REPORT_ROWS) -> str:
+    """A report of at most ``most`` rows as plain or Markdown text."""
+    rows = [r.asDict() for r in _few(df, most)]
     if markdown:
         head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r.values()) + " |" for r in rows)]) + "\n"
