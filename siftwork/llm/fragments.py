@@ -4,7 +4,8 @@ A record's set of word runs is hashed by K functions, of each of which both the
 value are kept: two nearly independent signature values for one evaluation, so K functions give 2K rows
 to band. Records that agree in a whole band are candidates; the true share of common runs then decides.
 Records with the same set form one class from the start: classes are compared, not records, and a class
-of any size costs one representative.
+of any size costs one representative. A bucket that very many different sets share (a licence, a template
+that all begin with) gives no pairs; its classes are compared by their rarest runs, which is exact.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwork.runtime import keep, spread
 
+#: Classes in a bucket above which its pairs are looked for by rare runs.
+CROWDED = 1000
 _WORDS = re.compile(r"[a-z0-9_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -82,7 +85,7 @@ def _set_key(runs: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, threshold: float = 0.8, rows: int = 4, bands: int = 50, name: str = "near") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, threshold: float = 0.8, rows: int = 4, bands: int = 50, name: str = "near", crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
     """``members`` (``id``, ``class_a LONG, class_b LONG``) and ``pairs`` of classes (``a_*``, ``b_*``, ``share``) with at least ``threshold`` of the union in common.
 
     Every record with at least one run of words is a member of exactly one class, that of its set of runs;
@@ -90,8 +93,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, thre
     texts is a member of several classes. Pairs of different classes come out once. A pair of similarity s
     is found with probability 1 - (1 - s^rows)^bands: with 4 rows and 50 bands 0.999 at 0.6 and more
     above. ``rows`` must be even; a band takes ``rows / 2`` functions, a minimum and a maximum of each.
-    Whole texts are hashed. No bucket is capped: its pairs come from an equi-join whose hot keys adaptive
-    execution splits, and repeated pairs are dropped before any text is read again.
+    Whole texts are hashed. A bucket's pairs come from an equi-join, and repeated pairs are dropped before any text is
+    read again. Classes that lie in a bucket of more than ``crowded`` ones are compared among each other by ``rare_pairs``.
     """
     if rows % 2:
         raise ValueError("a band takes minimum and maximum of each of its functions")
@@ -132,9 +135,16 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, thre
     # one shuffle serves to drop repeats, and both sides of the join; a class goes by half of its key here, which the texts settle
     exploded = hashed.select("class_a", "size", F.explode("bands").alias("bucket")).repartition("bucket")
     bucketed = exploded.groupBy("bucket", "class_a").agg(F.first("size").alias("size"))
-    one, other = bucketed.alias("x"), bucketed.alias("y")
+    # how many share a bucket is counted where its rows lie for the join anyway
+    counted = bucketed.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+    one, other = counted.where(F.col("n") <= crowded).alias("x"), counted.where(F.col("n") <= crowded).alias("y")
     alike = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")  # else the union is too large
-    candidates = keep(one.join(other, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.class_a") < F.col("y.class_a")) & alike).select(F.col("x.class_a").alias("one"), F.col("y.class_a").alias("other")).distinct(), f"{name}-candidates")
+    near = one.join(other, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.class_a") < F.col("y.class_a")) & alike).select(F.col("x.class_a").alias("one"), F.col("y.class_a").alias("other")).distinct()
+    left_over = counted.where(F.col("n") > crowded).select(F.col("class_a").alias("one"), F.lit(None).cast("long").alias("other")).distinct()
+    found = keep(near.unionByName(left_over), f"{name}-candidates")
+    candidates, left_over = found.where("other IS NOT NULL"), found.where("other IS NULL").select(F.col("one").alias("class_a"))
+    if not left_over.isEmpty():
+        candidates = keep(candidates.unionByName(rare_pairs(given, members, left_over, run, threshold)).distinct(), f"{name}-candidates")
 
     # a text of each class that has a candidate
     wanted = candidates.select(F.col("one").alias("class_a")).unionByName(candidates.select(F.col("other").alias("class_a"))).distinct()
@@ -169,6 +179,41 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, thre
     return members, pairs.dropDuplicates(["a_a", "a_b", "b_a", "b_b"])
 
 
+def rare_pairs(given: DataFrame, members: DataFrame, classes: DataFrame, run: int, threshold: float) -> DataFrame:
+    """``one``, ``other``: the pairs of ``classes`` (``class_a``) that may share ``threshold`` of their union; none that does is left out.
+
+    With all runs in one order, two such sets have one of the first n - ceil(threshold * n) + 1 runs of each in common. In the
+    order from the rarest run on, these are what a set hardly shares with others, so a common head makes no pairs.
+    """
+    wanted = members.join(classes, "class_a", "left_semi").groupBy("class_a").agg(F.min("id").alias("id"))
+    texts = given.join(wanted, "id").select("class_a", "__text").distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = RunHasher(run)
+        for b in batches:
+            source, ends, flat = [], [0], []
+            for at, (key, t) in enumerate(zip(b.column("class_a").to_pylist(), b.column("__text").to_pylist())):
+                runs = hasher(t)
+                if len(runs) and _set_key(runs)[0] == key:  # else another text of the same id
+                    source.append(at)
+                    flat.append(runs.view(np.int64))
+                    ends.append(ends[-1] + len(runs))
+            values = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("class_a").take(pa.array(source, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["class_a", "runs"])
+
+    sets = keep(texts.mapInArrow(hashed, "class_a long, runs array<long>").dropDuplicates(["class_a"]), "sets")
+    each = sets.select("class_a", F.explode("runs").alias("run"))
+    common = each.groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    # runs that only one set has come before all others
+    size, least = F.size("runs"), F.ceil(F.size("runs") * F.lit(threshold) - 1e-9)
+    ranked = each.join(common, "run").groupBy("class_a").agg(F.array_sort(F.collect_list(F.struct("n", "run"))).alias("shared"))
+    first = sets.join(ranked, "class_a").select("class_a", size.alias("size"), F.slice("shared", F.lit(1), F.greatest(F.lit(0), size - least + 1 - (size - F.size("shared"))).cast("int")).alias("first"))
+    rare = keep(first.select("class_a", "size", F.explode("first.run").alias("run")), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    alike = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")
+    return x.join(y, F.col("x.run") == F.col("y.run")).where((F.col("x.class_a") < F.col("y.class_a")) & alike).select(F.col("x.class_a").alias("one"), F.col("y.class_a").alias("other")).distinct()
+
+
 def expand(members: DataFrame, pairs: DataFrame, a_col: str, b_col: str) -> DataFrame:
     """The pairs of different ids, the lesser first: across paired classes and within each class."""
     m = members

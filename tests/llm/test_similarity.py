@@ -152,6 +152,30 @@ def test_all_near_pairs(spark, run, threshold):
     assert len(want) > 30 and got == want
 
 
+@pytest.mark.parametrize(("run", "threshold", "crowded"), [(3, 0.6, 5), (5, 0.8, 5), (3, 0.6, 1)])
+def test_crowded_buckets_lose_no_pair(spark, run, threshold, crowded):
+    rng = np.random.default_rng(run)
+    head = " ".join(f"h{k}" for k in range(60))
+    texts = {k: f"{head} {t}" for k, t in edits(rng, 60).items()} | {9000 + k: " ".join(f"n{k}_{j}" for j in range(9)) for k in range(20)} | {9100: head, 9101: head + " x y z"}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    members, pairs = fragments.near_duplicates(df, "k", F.col("t"), run, threshold, crowded=crowded)
+    got = {tuple(r) for r in fragments.expand(members, pairs, "a", "b").collect()}
+    sets = {k: runs_of(t, run) for k, t in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+    assert len(want) > 50 and got == want
+
+
+def test_a_common_head_makes_no_pairs(spark):
+    head = " ".join(f"h{k}" for k in range(60))
+    texts = {k: head + " " + " ".join(f"b{k}_{j}" for j in range(60)) for k in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "id long, __text string")
+    members = df.select("id", F.col("id").alias("class_a"), F.col("id").alias("class_b"))
+    hasher = fragments.RunHasher(3)
+    keys = {k: fragments._set_key(hasher(t))[0] for k, t in texts.items()}
+    members = spark.createDataFrame([(k, v) for k, v in keys.items()], "id long, class_a long")
+    assert fragments.rare_pairs(df, members, members.select("class_a"), 3, 0.6).count() == 0
+
+
 def test_fragment_edges(spark):
     body = "return alpha + beta + gamma; done now"
     data = [(1, body, "f(a)", "z"), (1, body, "f(a)", "z"), (2, body.upper(), "f(a)", "z"), (3, None, "f(a)", "z"), (4, "", None, "z"), (5, "one two", None, "z"), (6, "日本語 テキスト", None, "z"), (7, body, None, "z"), (8, "word " * 50000, None, "z"), (9, "word " * 3, None, "z")]
