@@ -140,7 +140,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, run: int = 5, thre
     one, other = counted.where(F.col("n") <= crowded).alias("x"), counted.where(F.col("n") <= crowded).alias("y")
     alike = F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")  # else the union is too large
     near = one.join(other, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.class_a") < F.col("y.class_a")) & alike).select(F.col("x.class_a").alias("one"), F.col("y.class_a").alias("other")).distinct()
-    left_over = counted.where(F.col("n") > crowded).select(F.col("class_a").alias("one"), F.lit(None).cast("long").alias("other")).distinct()
+    # it asks for the same columns and rows as the join does, so that it shares its shuffle
+    left_over = counted.where((F.col("n") > crowded) & (F.col("size") > 0) & F.col("bucket").isNotNull() & F.col("class_a").isNotNull()).select(F.col("class_a").alias("one"), F.lit(None).cast("long").alias("other")).distinct()
     found = keep(near.unionByName(left_over), f"{name}-candidates")
     candidates, left_over = found.where("other IS NOT NULL"), found.where("other IS NULL").select(F.col("one").alias("class_a"))
     if not left_over.isEmpty():
