@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from siftwork.operators import ann, scanners
 from siftwork.operators import search as S
@@ -55,9 +55,10 @@ def call(spark: SparkSession, folder: str, name: str, parameters: str | Mapping[
 
 
 def _current_fragments(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Of each fragment id the row extracted last; of rows extracted at once the greatest."""
-    top = F.max(F.struct("extracted_at", *columns)).alias("top")
-    return table(spark, folder, "code_fragments").groupBy("fragment_id").agg(top).select("fragment_id", *[f"top.{c}" for c in columns])
+    """Of each fragment id the row extracted last; of rows extracted at once, or where a table doesn't tell when, the greatest."""
+    f = table(spark, folder, "code_fragments")
+    top = F.max(F.struct(*[c for c in ("extracted_at",) if c in f.columns], *columns)).alias("top")
+    return f.groupBy("fragment_id").agg(top).select("fragment_id", *[f"top.{c}" for c in columns])
 
 
 @tool("search", "Fragments by words, with filters before or after the limit", query="", limit=20, languages=None, include_paths=None, exclude_paths=None, filter_after=True)
@@ -121,28 +122,43 @@ _PATTERNS = pa.schema([("kind", pa.string()), ("line_start", pa.int32()), ("line
 
 
 @arrow_udtf(returnType="key: string, function_name: string, code_content: string, function_signature: string, line_start: int, line_end: int")
-class FunctionBlocks:
+class BlocksOf:
     def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
         yield _scanned(batch, scanners.blocks, _BLOCKS, least_bytes=30)
 
 
 @arrow_udtf(returnType="key: string, kind: string, line_start: int, line_end: int, complexity: double, content: string")
-class CodePatterns:
+class PatternsOf:
     def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
         yield _scanned(batch, scanners.patterns, _PATTERNS)
 
 
+@udtf(returnType="function_name: string, code_content: string, function_signature: string, line_start: int, line_end: int", useArrow=True)
+class FunctionBlocks:
+    def eval(self, text: str, least_bytes: int):
+        for r in scanners.blocks(text or "", least_bytes):
+            yield tuple(r.values())
+
+
+@udtf(returnType="kind: string, line_start: int, line_end: int, complexity: double, content: string", useArrow=True)
+class CodePatterns:
+    def eval(self, text: str):
+        for r in scanners.patterns(text or ""):
+            yield tuple(r.values())
+
+
 def register_table_functions(spark: SparkSession) -> None:
-    """``function_blocks(TABLE(...))`` and ``code_patterns(TABLE(...))`` for SQL, of a table whose first two columns are a key and a text. They take whole Arrow batches."""
-    spark.udtf.register("function_blocks", FunctionBlocks)
-    spark.udtf.register("code_patterns", CodePatterns)
+    """For SQL: ``blocks_of(TABLE(...))`` and ``patterns_of(TABLE(...))`` of a table whose first two columns are a key and a text, by whole
+    Arrow batches; ``function_blocks(text, least_bytes)`` and ``code_patterns(text)`` of one text, for LATERAL, their rows sent as Arrow batches."""
+    for name, f in (("blocks_of", BlocksOf), ("patterns_of", PatternsOf), ("function_blocks", FunctionBlocks), ("code_patterns", CodePatterns)):
+        spark.udtf.register(name, f)
 
 
 def fragments_by_sql(spark, folder):
     """The functions of all files by a table function in SQL."""
     register_table_functions(spark)
     table(spark, folder, "source_files").createOrReplaceTempView("__sources")
-    return spark.sql("SELECT key AS path, function_name, line_start, line_end FROM function_blocks(TABLE(SELECT path, content FROM __sources WHERE content IS NOT NULL AND (path LIKE '%.ts' OR path LIKE '%.js')))")
+    return spark.sql("SELECT key AS path, function_name, line_start, line_end FROM blocks_of(TABLE(SELECT path, content FROM __sources WHERE content IS NOT NULL AND (path LIKE '%.ts' OR path LIKE '%.js')))")
 
 
 def tool_search(spark, folder):

@@ -113,10 +113,10 @@ def test_table_functions_take_batches(spark, rows):
     df = spark.createDataFrame([("a", code), ("b", None), ("c", "")] + [(f"d{n}", code) for n in range(20)], "k string, t string")
     tools.register_table_functions(spark)
     df.createOrReplaceTempView("texts")
-    got = spark.sql("SELECT key, function_name, line_start FROM function_blocks(TABLE(SELECT k, t FROM texts))")
+    got = spark.sql("SELECT key, function_name, line_start FROM blocks_of(TABLE(SELECT k, t FROM texts))")
     want = scanners.scan(df, scanners.blocks, "k", "t", least_bytes=30).select("k", "function_name", "line_start")
     assert rows(got) == rows(want) and got.count() == 42
-    assert spark.sql("SELECT * FROM code_patterns(TABLE(SELECT k, t FROM texts WHERE k = 'b'))").count() == 0
+    assert spark.sql("SELECT * FROM patterns_of(TABLE(SELECT k, t FROM texts WHERE k = 'b'))").count() == 0
 
 
 def test_numbers_that_are_not_finite_have_no_score(spark):
