@@ -71,8 +71,8 @@ def _asked(spark) -> DataFrame:
 
 def rank_documents(spark, folder):
     """Every document's score for each question (a stated, small set)."""
-    d = spread(_documents(spark, folder)).join(_asked(spark))
-    return d.select("query", "doc_id", F.round(S.rerank_score(F.col("question"), F.col("text")), 6).alias("score"))
+    d = S.text_facts(spread(_documents(spark, folder)), "text").join(_asked(spark))
+    return d.select("query", "doc_id", F.round(S.rerank_score(F.col("question"), F.col("text"), facts=True), 6).alias("score"))
 
 
 def rank_best(spark, folder):
@@ -103,7 +103,7 @@ def _combined(spark, folder) -> DataFrame:
     from siftwork.operators.ann import combined_confidence, combined_score
 
     q = F.array(*[F.lit(w) for w in ASKED[0].split()])
-    d = spread(_documents(spark, folder)).select("doc_id", "source", "doc_path", "text", N.jaccard(N.words(F.col("text")), q).alias("sim"), S.rerank_score(F.lit(ASKED[0]), F.col("text")).alias("rr"))
+    d = S.text_facts(spread(_documents(spark, folder)), "text").select("doc_id", "source", "doc_path", "text", N.jaccard(N.words(F.col("text")), q).alias("sim"), S.rerank_score(F.lit(ASKED[0]), F.col("text"), facts=True).alias("rr"))
     return d.withColumn("score", combined_score(F.col("sim"), F.col("rr"))).withColumn("confidence", combined_confidence(F.col("sim"), F.col("rr")))
 
 
