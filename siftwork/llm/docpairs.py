@@ -3,14 +3,16 @@
 A scanner for each language blanks strings and comments out of a file, finds the declarations of
 functions and methods in what is left, and puts them into a symbol table: qualified name, normalised
 signature, whether there is a body, the classes, interfaces or traits that the owner is derived from, and the
-comment that belongs to the declaration. Documented declarations without a body (methods of interfaces and
-traits, abstract and overloaded ones) are joined across files with the definitions of the same project, family of
-languages, owner (or one of those it is derived from), name and normalised signature, so overloads find their own.
-Definitions whose description says something, of their own or by that join, come out as pairs.
+comment that belongs to the declaration. What the comments say is then joined with the definitions of the same project,
+family of languages, owner, name and normalised signature: that of a definition with itself, that of documented
+declarations without a body (methods of interfaces and traits, abstract and overloaded ones) across files with the
+definitions of the same owner or of one derived from it, so overloads find their own. Definitions that find a
+description come out as pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -599,14 +601,17 @@ def describes(comment: str, name: str) -> bool:
 
 _PARAMS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("param_type", T.StringType()), T.StructField("is_optional", T.BooleanType()), T.StructField("default_value", T.StringType())]))
 _SYMBOL = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("path", "project", "language", "name", "owner")]
+    [T.StructField(n, T.StringType()) for n in ("place", "path", "project", "language", "name", "owner")]
     + [T.StructField("bases", T.ArrayType(T.StringType())), T.StructField("line", T.LongType()), T.StructField("has_body", T.BooleanType()), T.StructField("parameters", _PARAMS), T.StructField("signature", T.StringType()), T.StructField("description", T.StringType())]
 )
 _ARROW_PARAMS = pa.list_(pa.struct([("name", pa.string()), ("param_type", pa.string()), ("is_optional", pa.bool_()), ("default_value", pa.string())]))
 
 
 def symbol_table(df: DataFrame, path_col: str = "path", content_col: str = "content", language_col: str = "language", project_col: str = "project") -> DataFrame:
-    """One row for each function or method that a file declares; ``description`` is null where it says nothing. Null contents and other languages have none."""
+    """One row for each function or method that a file declares; ``description`` is null where it says nothing. Null contents and other languages have none.
+
+    ``place`` tells a symbol from all others: the file, with what it holds, and the symbol's number in it. Only equal rows have equal ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -615,11 +620,12 @@ def symbol_table(df: DataFrame, path_col: str = "path", content_col: str = "cont
                 if not content:
                     continue
                 language = language_of(path, language)
-                for s in symbols(content, language):
+                file = hashlib.md5(repr((path, project, language, content)).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+                for nth, s in enumerate(symbols(content, language)):
                     said = description(s.comment) if s.comment and describes(s.comment, s.name) else None
-                    for c, v in zip(cols, (path, project, language, s.name, s.owner, s.bases, s.line, s.has_body, s.parameters, s.signature, said)):
+                    for c, v in zip(cols, (f"{file}:{nth}", path, project, language, s.name, s.owner, s.bases, s.line, s.has_body, s.parameters, s.signature, said)):
                         c.append(v)
-            kinds = [pa.string()] * 5 + [pa.list_(pa.string()), pa.int64(), pa.bool_(), _ARROW_PARAMS, pa.string(), pa.string()]
+            kinds = [pa.string()] * 6 + [pa.list_(pa.string()), pa.int64(), pa.bool_(), _ARROW_PARAMS, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_SYMBOL.names)
 
     given = df.select(F.col(path_col).alias("a"), F.col(project_col).alias("b"), F.col(language_col).alias("c"), F.col(content_col).alias("d"))
@@ -629,29 +635,31 @@ def symbol_table(df: DataFrame, path_col: str = "path", content_col: str = "cont
 def documented_functions(table: DataFrame) -> DataFrame:
     """The definitions of a symbol table with a description: ``description_of`` is ``own`` or ``declaration``.
 
-    A definition without one of its own takes that of the declarations without body that have the same project, name and
-    normalised signature, in languages that call each other, and whose owner is the definition's own or one of those that its
-    owner is derived from (of several the first named). Functions without an owner find declarations without one. If the
-    declarations of one owner and signature say different things, there is no description. What an interface itself is derived
-    from isn't followed. Null projects are a project of their own. Repeated files give repeated rows.
+    Descriptions reach definitions by one join on project, languages that call each other, owner, name and normalised signature.
+    What a comment at a definition says is for the definition at that place alone; what it says at a declaration without body
+    is for all definitions whose owner is the declaration's, or is derived from it. A definition takes the first that it finds: its
+    own, that of its owner, then those of what its owner is derived from, in their order. Functions without an owner find
+    declarations without one. If the declarations of one owner and signature say different things, there is no description. What
+    an interface itself is derived from isn't followed. Null projects are a project of their own. Repeated files give repeated rows.
     """
     family = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
-    keys = ["project", "family", "of", "name", "signature"]
-    own = table.where("has_body AND description IS NOT NULL").withColumn("description_of", F.lit("own")).drop("bases")
     last = F.element_at(F.split("owner", r"\."), -1)
-    declared = (
-        table.where("NOT has_body AND description IS NOT NULL")
-        .select("project", family.alias("family"), last.alias("of"), "name", "signature", "description")
-        .groupBy(*keys)
+
+    def symbol(of: Column, at: Column) -> Column:
+        # one struct, as nulls within it equal each other
+        return F.struct("project", family.alias("family"), of.alias("of"), "name", "signature", at.alias("at"))
+
+    anywhere = F.lit("")
+    said = (
+        table.where("description IS NOT NULL")
+        .select(symbol(last, F.when(F.col("has_body"), F.col("place")).otherwise(anywhere)).alias("symbol"), "description")
+        .groupBy("symbol")
         .agg(F.min("description").alias("description"), F.max("description").alias("__other"))
         .where("description = __other")
         .drop("__other")
     )
-    columns = [c for c in own.columns if c not in ("description", "description_of")]
-    bare = table.where("has_body AND description IS NULL").withColumn("family", family)
-    # what is asked for is looked up once, however many definitions ask
-    asking = ["project", "family", "owner", "bases", "name", "signature"]
-    asked = bare.select(*asking).distinct().select(*[F.col(c).alias(f"__{c}") for c in asking], F.posexplode(F.concat(F.array(last), F.col("bases"))).alias("__nth", "__of"))
-    said = asked.join(declared, [asked[f"__{k}"].eqNullSafe(declared[k]) for k in keys]).groupBy(*[f"__{c}" for c in asking]).agg(F.min_by("description", "__nth").alias("description"))
-    taken = bare.drop("description").join(said, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in asking]).select(*columns, "description", F.lit("declaration").alias("description_of"))
-    return own.select(*columns, "description", "description_of").unionByName(taken)
+    definitions = table.where("has_body").drop("description")
+    derived = F.transform(F.concat(F.array(last), F.col("bases")), lambda of: symbol(of, anywhere))
+    asked = definitions.select("place", F.posexplode(F.concat(F.array(symbol(last, F.col("place"))), derived)).alias("nth", "symbol"))
+    found = asked.join(said, "symbol").groupBy("place").agg(F.min_by("description", "nth").alias("description"), F.when(F.min("nth") == 0, "own").otherwise("declaration").alias("description_of"))
+    return definitions.join(found, "place").drop("place", "bases")

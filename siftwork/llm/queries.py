@@ -37,14 +37,13 @@ def p4_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    # the symbol table is read three times
+    # the symbol table is read three times: what is said, who asks for it, and the definitions
     return docpairs.documented_functions(keep(docpairs.symbol_table(table(spark, folder, "source_files")), "symbols"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    # of the union only the definitions' own descriptions are left, so the symbol table is read once
-    pairs = docpairs.documented_functions(docpairs.symbol_table(table(spark, folder, "source_files")))
-    return pairs.where("description_of = 'own'").select("path", "line").distinct()
+    # the cases are those whose description, of all that the join finds, is their own
+    return p5_pairs(spark, folder).where("description_of = 'own'").select("path", "line").distinct()
 
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:

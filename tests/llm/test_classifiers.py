@@ -1,6 +1,6 @@
 import pytest
 
-from siftwork.llm import docpairs, handwritten, spam
+from siftwork.llm import docpairs, handwritten, queries, spam
 
 HAND = """import {{ A }} from '@core/a';
 
@@ -469,6 +469,22 @@ def test_declarations_are_joined_by_qualified_name_and_signature(spark):
     assert got == sorted([("i.rs", "Robot", "walk", "Goes", "tried."), *plain, *twice, *twice])
 
 
+def test_found_descriptions_come_by_the_join(spark, tmp_path):
+    said = "/** {} entries whose shelf was emptied this morning. */"
+    plain = "function size(): number {\n  return 2;\n}\n"
+    files = [("s.ts", "p", STORE), ("c.ts", "p", CLOTHES), ("u.ts", "p", USERS), ("n.ts", None, STORE), ("m.ts", None, USERS)]
+    # one symbol in several files, a file given twice, and one path with other contents
+    files += [("one.ts", "p", f"{said.format('Counts')}\n{plain}"), ("two.ts", "p", f"{said.format('Lists')}\n{plain}"), ("none.ts", "p", f"\n{plain}"), ("two.ts", "p", f"{said.format('Lists')}\n{plain}"), ("two.ts", "p", f"{said.format('Drops')}\n{plain}"), ("two.ts", "p", f"\n{plain}")]
+    df = spark.createDataFrame([(a, b, None, c) for a, b, c in files], "path string, project string, language string, content string")
+    df.write.parquet(f"{tmp_path}/source_files.parquet")
+    found = queries.p5_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("one.ts", 2), ("two.ts", 2)}
+    assert "Join" in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = queries.p5_pairs(spark, str(tmp_path))
+    assert sorted((r["path"], r["description"].split()[0]) for r in pairs.where("description_of = 'own'").collect()) == [("one.ts", "Counts"), ("two.ts", "Drops"), ("two.ts", "Lists"), ("two.ts", "Lists")]
+    assert {(r["path"], r["owner"], r["name"]) for r in pairs.where("project IS NULL").collect()} == {("m.ts", "Store", "size"), ("m.ts", "Store", "get")}
+
+
 def test_owners_names_and_decorators_are_found_however_far_off():
     doc = "/** Collects rejected orders before the warehouse closes. */\n"
     many = ", ".join(f"Base{n}" for n in range(400))
