@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +66,13 @@ _A_OPENS = re.compile(r"<a\b", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HASHTAG = re.compile(r"(?<![\w&])#\w[\w-]+")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d:\d\d|at \S+ \(|File \"|Traceback|\d+ (?:passed|failed)|\$ |>>> |npm (?:ERR|WARN)|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)")
-_CODE = re.compile(
-    r"[{};]\s*$|^\s*[}\])]+[;,]?\s*$|=>|::|[=!<>]==?|\+=|-=|&&|\|\||\w\(.*\)\s*[:{;]?\s*$|^\s*[\w.]+\s*=\s*\S|^\s*[\w-]+:\s+[\w'\"\[{-]|^\s*(?:#include|@\w+|#!)"
+#: Code by its signs, by how it ends (behind a call), or by how it begins.
+_CODE_SIGNS = ("=>", "::", "==", "!=", "<=", ">=", "+=", "-=", "&&", "||")
+_CODE_CALL = re.compile(r"\w\(.*\)\s*[:{;]?\s*$")
+_CODE_START = re.compile(
+    r"\s*(?:[}\])]+[;,]?\s*$|[\w.]+\s*=\s*\S|[\w-]+:\s+[\w'\"\[{-]|#include|@\w+|#!"
     # a word of a language opens code only with its signs behind it, or as a bare import
-    r"|^\s*(?:import|export|use|from|const|let|var|return|def|fn|pub|class|async|await|if|for|while|switch|case|default)\b(?=[^.!?]*[{}()=;'\"*<>])(?!.*[.!?]\s*$)|^\s*import [\w.]+$|^\s*from [\w.]+ import [\w, ]+$"
+    r"|(?:import|export|use|from|const|let|var|return|def|fn|pub|class|async|await|if|for|while|switch|case|default)\b(?=[^.!?]*[{}()=;'\"*<>])(?!.*[.!?]\s*$)|import [\w.]+$|from [\w.]+ import [\w, ]+$)"
 )
 _CONFIG = re.compile(r"^\s*[\"']?[\w.$-]+[\"']?\s*[:=]\s*(?:[\"'\[{]|[\d.]+,?\s*$|true|false|null)|^\s*[\"'][^\"']*[\"']\s*,?\s*$|^\s*\[[\w.-]+\]\s*$")
 _COMMIT = re.compile(r"^\w+\([\w-]+\)!?: ")
@@ -78,18 +82,49 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PARTICLE = re.compile(r"[はがをにのでとも]")
 _LIST_SIGN = re.compile(r"^\s*(?:[-*+•>]|\d+[.)]|#{1,6}|/\*+|//+|<!--)(?:\s+|$)|^\s*\*+/\s*$")
 _JSON_WORDS = re.compile(r"\"(?:keywords|tags|topics|categories)\"\s*:\s*\[((?:\s*\"[^\"]*\"\s*,?)*)")
+_JSON_NAMES = ('"keywords"', '"tags"', '"topics"', '"categories"')
 _NAMED_LIST = re.compile(r"^\s*(?:tags?|keywords?|labels?|topics?|schlagw(?:orte|örter)|etiquetas|mots-clés|categories)\s*:", re.I)
 #: Words strung by signs; which of them has a sign is looked for apart, so that no text is matched in two ways.
 _STRUNG_TOKEN = re.compile(r"^\w*(?:[-.+/]\w+)*$")
 _SIGN = re.compile(r"[-_.+/]")
 _SIGNS = re.compile(r"[\d(){}\[\]=<>;:_\"'|&$@\\]")
-_FENCE = re.compile(r"^\s*(?:```|~~~)")
+_ASCII_SIGNS = bytes(c for c in range(128) if _SIGNS.match(chr(c)))
+_FENCES = ("```", "~~~")
 _PROGRAM_LINE = re.compile(r"^\s*(?:import|export|from|const|let|var|return|\"|')")
 _COMMENT_LINE = re.compile(r"^\s*(?://|/\*|\s\*|#!)")
 
 
+#: ASCII letters in lower case and apostrophes as they are, all else blank.
+_ASCII_WORDS = bytes(ord(chr(c).lower()) if chr(c).isalpha() or chr(c) == "'" else 32 for c in range(128)) + bytes(128)
+
+
+def words_of(text: str) -> list[str]:
+    """What ``_WORD`` finds, in lower case."""
+    if not text.isascii():
+        return [w.lower() for w in _WORD.findall(text)]
+    words = text.encode().translate(_ASCII_WORDS).decode().split()
+    if "'" in text:
+        return [x for w in words for x in (_WORD.findall(w) if "'" in w else (w,))]
+    return words
+
+
+def _wide(text: str) -> int:
+    return 0 if text.isascii() else len(_CJK.findall(text))
+
+
 def _small_share(words: list[str]) -> float:
-    return sum(w.lower() in _SMALL for w in words) / max(1, len(words))
+    return sum(map(_SMALL.__contains__, words)) / max(1, len(words))
+
+
+def _may_have_address(text: str) -> bool:
+    return "://" in text or "www." in text.lower()
+
+
+def _looks_like_code(body: str) -> bool:
+    """Whether a line without white space around it looks like code."""
+    if body[-1] in "{};" or any(map(body.__contains__, _CODE_SIGNS)):
+        return True
+    return body[-1] in "):" and "(" in body and bool(_CODE_CALL.search(body)) or bool(_CODE_START.match(body))
 
 
 def _without_anchors(text: str) -> str:
@@ -110,18 +145,19 @@ def _without_anchors(text: str) -> str:
 
 def make_of(line: str) -> str:
     """Where a line belongs: ``links``, ``tags``, ``words`` (no sentence in it), ``sentences``, ``program`` (code, configuration, output), ``title`` or ``blank``."""
-    body = _LIST_SIGN.sub("", line).strip()
+    sign = _LIST_SIGN.match(line)
+    body = (line[sign.end() :] if sign else line).strip()
     if not body:
         return "blank"
     if _LOG.match(line):
         return "program"
     bare = _without_anchors(body)
-    if len(bare) < len(body) or _URL.search(body) or _MD_LINK.search(body):
+    if len(bare) < len(body) or _may_have_address(body) and _URL.search(body) or "](" in body and _MD_LINK.search(body):
         rest = _URL.sub(" ", _without_anchors(_MD_LINK.sub(" ", body)))
         rest = _TAG.sub(" ", rest)
-        words = _WORD.findall(rest)
+        words = words_of(rest)
         linked = len(body) - len(rest.strip())
-        wide = len(_CJK.findall(rest))
+        wide = _wide(rest)
         prose = _SENTENCE_END.search(rest) and (_small_share(words) > 0.12 or wide > 5)
         if prose and len(rest.split()) + wide > 4 or _small_share(words) > 0.2 and len(words) > 5:
             return "sentences"
@@ -129,7 +165,7 @@ def make_of(line: str) -> str:
             return "program"
         return "links" if linked * 2 > len(rest.strip()) or len(words) <= 8 else "words"
     tokens = body.split()
-    hashtags = _HASHTAG.findall(body)
+    hashtags = _HASHTAG.findall(body) if "#" in body else []
     if len(hashtags) >= 2 and len(hashtags) * 2 >= len(tokens) or len(hashtags) == 1 == len(tokens):
         return "tags"
     if _NAMED_LIST.match(body) and not _SENTENCE_END.search(body.rstrip(".")):
@@ -138,15 +174,15 @@ def make_of(line: str) -> str:
     if len(tokens) >= 3 and sum(map(body.count, "-_.+/")) * 5 >= len(tokens) * 4 and not re.search(r"[(){}=<>;:]", body):
         if sum(bool(_SIGN.search(t) and _STRUNG_TOKEN.match(t)) for t in (t.strip(",;|") for t in tokens)) * 5 >= len(tokens) * 4:
             return "tags"
-    words = _WORD.findall(body)
-    wide = len(_CJK.findall(body))
+    wide = _wide(body)
     if wide * 3 > len(body):
         return "sentences" if _SENTENCE_END.search(body) or len(_PARTICLE.findall(body)) * 12 > len(body) else "words"
-    if _COMMIT.match(body) or _CONFIG.match(body) or _CODE.search(body):
+    if _COMMIT.match(body) or _CONFIG.match(body) or _looks_like_code(body):
         return "program"
+    words = words_of(body)
     if not words:
         return "program"
-    ends = len(_SENTENCE_END.findall(body))
+    ends = bool(_SENTENCE_END.search(body))
     small = _small_share(words)
     n_small = round(small * len(words))
     if n_small >= 2 and small >= (0.1 if ends else 0.2) or n_small and ends and len(words) >= 8:
@@ -158,15 +194,16 @@ def masked(text: str, make: str) -> str:
     """The text with the names in its addresses, link targets and tags masked: they are no words of its own, and only the form around them can repeat."""
     if make == "program":
         return text
-    text = _URL.sub("http://w", text)
+    if _may_have_address(text):
+        text = _URL.sub("http://w", text)
     return re.sub(r"[^\W\d_]+", "w", re.sub(r"\d+", "0", text)) if make in ("links", "tags") else text
 
 
 def spoken_in(text: str) -> str:
     """The language of EXPECTED that a text is in, by its script and small words; English where nothing tells."""
-    if len(_CJK.findall(text)) * 10 > len(text):
+    if _wide(text) * 10 > len(text):
         return "ja"
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = [w for w in words_of(text) if w in _SMALL]
     return max(SMALL_WORDS, key=lambda k: (sum(map(SMALL_WORDS[k].__contains__, words)), k == "en"))
 
 
@@ -179,40 +216,47 @@ def redundancy(text: str, language: str, make: str = "words") -> float:
 
 def sentence_density(text: str) -> float:
     """Sentences for each word: end marks that close a stretch with two small words (of Japanese, a particle) in it."""
-    text = _URL.sub(" ", text)
-    n = len(_WORD.findall(text)) + len(_CJK.findall(text)) // 2
-    ends = at = 0
+    if _may_have_address(text):
+        text = _URL.sub(" ", text)
+    n, ends, at, wide = 0, 0, 0, _wide(text)
     for m in _SENTENCE_END.finditer(text):
         stretch = text[at : m.start()]
         at = m.end()
-        ends += bool(_PARTICLE.search(stretch)) or sum(w.lower() in _SMALL for w in _WORD.findall(stretch)) > 1
-    return ends / max(1, n)
+        words = words_of(stretch)
+        n += len(words)
+        ends += wide > 0 and bool(_PARTICLE.search(stretch)) or sum(map(_SMALL.__contains__, words)) > 1
+    return ends / max(1, n + len(words_of(text[at:])) + wide // 2)
 
 
 def sign_density(text: str) -> float:
     """Brackets, operators, quotes and digits for each word."""
-    return len(_SIGNS.findall(text)) / max(1, len(_WORD.findall(text)))
+    if text.isascii():
+        plain = text.encode()
+        signs = len(plain) - len(plain.translate(None, _ASCII_SIGNS))
+    else:
+        signs = len(_SIGNS.findall(text))
+    return signs / max(1, len(words_of(text)))
 
 
-def is_strung(text: str, make: str, language: str) -> bool:
-    """Whether a block is extremely redundant for its length and language, and its sentences are sparse."""
+def is_strung(text: str, make: str, language: Callable[[], str]) -> bool:
+    """Whether a block is extremely redundant for its length and language, and its sentences are sparse. The language is asked for where it matters."""
     if make in ("links", "tags"):
         # one address or tag alone is no list
         if make == "links" and len(_URL.findall(text)) + text.count("](") < 2:
             return False
-    elif len(_WORD.findall(text)) + len(_CJK.findall(text)) // 2 < LEAST_WORDS and text.count("\n") + 1 < LEAST_LINES:
+    elif text.count("\n") + 1 < LEAST_LINES and len(words_of(text)) + _wide(text) // 2 < LEAST_WORDS:
         return False
-    kind = "program" if make == "program" else language
-    if kind == "program" and sign_density(text) >= SIGNS:
+    if make == "program" and sign_density(text) >= SIGNS or sentence_density(text) >= SPARSE:
         return False
-    return redundancy(text, kind, make) >= LEAST[kind] and sentence_density(text) < SPARSE
+    kind = "program" if make == "program" else language()
+    return redundancy(text, kind, make) >= LEAST[kind]
 
 
 def blocks(text: str) -> Iterator[tuple[str, str]]:
     """``make`` and text of the runs of neighbouring lines of one make. Links, tags and words form one run, which has the make of most of its characters; titles and blank lines end none."""
     block: list[str] = []
     sizes: dict[str, int] = {}
-    of, fenced = "", False
+    of, fenced, size = "", False, 0
 
     def done() -> Iterator[tuple[str, str]]:
         if block:
@@ -224,7 +268,7 @@ def blocks(text: str) -> Iterator[tuple[str, str]]:
         s = line.strip()
         if not s:
             continue
-        fence = bool(_FENCE.match(line))
+        fence = s.startswith(_FENCES)
         fenced ^= fence
         for k in range(0, len(s), BLOCK):
             piece = s[k : k + BLOCK]
@@ -232,10 +276,11 @@ def blocks(text: str) -> Iterator[tuple[str, str]]:
             if make in ("title", "blank"):
                 continue
             family = make if make in ("program", "sentences") else "strung"
-            if family != of or sum(sizes.values()) > BLOCK:
+            if family != of or size > BLOCK:
                 yield from done()
-                of = family
+                of, size = family, 0
             block.append(piece)
+            size += len(piece)
             sizes[make] = sizes.get(make, 0) + len(piece)
     yield from done()
 
@@ -245,7 +290,7 @@ def strung_share(text: str) -> float:
     total = sum(len(x.strip()) for x in text.splitlines())
     if not total:
         return 0.0
-    language = spoken_in(text)
+    language = lru_cache(partial(spoken_in, text))
     found = 0
 
     def listed(m: re.Match) -> str:
@@ -256,7 +301,8 @@ def strung_share(text: str) -> float:
             return m.group(0)[: m.start(1) - m.start()]
         return m.group(0)
 
-    text = _JSON_WORDS.sub(listed, text)
+    if any(map(text.__contains__, _JSON_NAMES)):
+        text = _JSON_WORDS.sub(listed, text)
     found += sum(len(b) - b.count("\n") for make, b in blocks(text) if is_strung(b, make, language))
     return found / total
 

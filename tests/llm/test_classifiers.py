@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from siftwork.llm import docpairs, handwritten, queries, spam
@@ -191,6 +193,38 @@ def test_long_links_and_strung_words_are_read_whole():
     assert spam.make_of("_".join("ab" for _ in range(5000)) + "! x_y z_w")  # it ends
 
 
+@pytest.mark.parametrize("text", [SENTENCES * 3, FINE[3], FINE[4], FINE[6]], ids=range(4))
+def test_compression_and_language_are_looked_at_only_where_they_decide(text, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(spam, "redundancy", never)
+    monkeypatch.setattr(spam, "spoken_in", never)
+    assert spam.strung_share(text) == 0
+
+
+#: Code as one pattern.
+CODE = re.compile(
+    r"[{};]\s*$|^\s*[}\])]+[;,]?\s*$|=>|::|[=!<>]==?|\+=|-=|&&|\|\||\w\(.*\)\s*[:{;]?\s*$|^\s*[\w.]+\s*=\s*\S|^\s*[\w-]+:\s+[\w'\"\[{-]|^\s*(?:#include|@\w+|#!)"
+    r"|^\s*(?:import|export|use|from|const|let|var|return|def|fn|pub|class|async|await|if|for|while|switch|case|default)\b(?=[^.!?]*[{}()=;'\"*<>])(?!.*[.!?]\s*$)|^\s*import [\w.]+$|^\s*from [\w.]+ import [\w, ]+$"
+)
+
+
+def test_quick_forms_equal_their_patterns():
+    import random
+
+    pick = random.Random(7)
+    parts = ["a", "Bc", "import", "from", "if", "www.", "HTTP://x", "=", "==", "=>", ":", "::", "'", "''", "’s", "é", "ſ", "は", "節", "٣", "9", "_", "-", ".", "!", "(", ")", "{", "}", "[", "]", ";", ",", "&&", "#", "@x", "#!", "|", " ", "  ", "\t", "\x1c", "\u3000"]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(1, 12))) for _ in range(20_000)]
+    texts += [line for text in SPAM + FINE for line in text.splitlines()]
+    for text in texts:
+        assert spam.words_of(text) == [w.lower() for w in spam._WORD.findall(text)], text
+        assert spam.sign_density(text) == len(spam._SIGNS.findall(text)) / max(1, len(spam._WORD.findall(text))), text
+        assert not spam._URL.search(text) or spam._may_have_address(text), text
+        body = text.strip()
+        assert not body or spam._looks_like_code(body) == bool(CODE.search(body)), text
+
+
 TS = '''import { X } from './x';
 
 /** Explains what the whole class is good for. */
