@@ -56,16 +56,17 @@ _TS_SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|
 _RS_SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|b?r(#*)\".*?\"\1|b?\"(?:\\.|[^\"\\])*\"?|b?'(?:\\(?:x..|u\{[^}]*\}|.)|[^'\\\n])'", re.S)
 _PY_SKIP = re.compile(r"#[^\n]*|[rbuRBUfF]{0,2}(?:'''(?:\\.|[^\\])*?(?:'''|\Z)|\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?)", re.S)
 
+#: Patterns begin with their fixed letters, what stands before these is looked at behind them, and nothing that can't match otherwise is given back: both only for speed.
 _NAME = r"[A-Za-z_$][\w$]*"
-_TS_FUNCTION = re.compile(rf"\bfunction\b\s*\*?\s*(?P<name>{_NAME})\s*(?=[<(])")
+_TS_FUNCTION = re.compile(rf"function(?<!\wfunction)\b\s*\*?\s*(?P<name>{_NAME})\s*(?=[<(])")
 _TS_VALUE = rf"\s*(?:async\s+|async(?=\())?(?:(?P<fn>function\b\s*\*?\s*(?:{_NAME})?\s*)(?=[<(])|(?=[<(])|(?P<one>{_NAME})\s*=>)"
-_TS_ASSIGNED = re.compile(rf"(?<![=!<>+*/%&|^-])=(?![=>]){_TS_VALUE}")
+_TS_ASSIGNED = re.compile(rf"=(?<![=!<>+*/%&|^-]=)(?![=>]){_TS_VALUE}")
 _TS_PROPERTY = re.compile(rf":{_TS_VALUE}")
 _TS_ANNOTATED = re.compile(rf"(?P<name>{_NAME})[?!]?\s*:")
-_TS_METHOD = re.compile(rf"^[ \t]*(?P<mods>(?:(?:@{_NAME}(?:\([^()\n]*\))?|public|private|protected|static|abstract|override|async|get|set|readonly|declare|export|default)[ \t]+)*)\*?[ \t]*(?P<name>#?{_NAME})\??[ \t]*(?=[<(])", re.M)
+_TS_METHOD = re.compile(rf"^[ \t]*+(?P<mods>(?:(?:@{_NAME}(?:\([^()\n]*\))?|public|private|protected|static|abstract|override|async|get|set|readonly|declare|export|default)[ \t]++)*)\*?[ \t]*+(?P<name>#?{_NAME}+)\??[ \t]*+(?=[<(])", re.M)
 _NOT_NAMES = frozenset("if for while switch catch function return with constructor new typeof super await import do else try throw delete void yield of in case instanceof".split())
-_TS_OWNER = re.compile(rf"\b(?:class|interface|namespace|module|enum)\s+(?P<name>{_NAME})")
-_RS_FUNCTION = re.compile(r"\bfn\s+(?P<name>(?:r#)?[^\W\d]\w*)\s*(?=[<(])")
+_TS_OWNER = re.compile(rf"(?:class(?<!\wclass)|interface(?<!\winterface)|namespace(?<!\wnamespace)|module(?<!\wmodule)|enum(?<!\wenum))\s+(?P<name>{_NAME})")
+_RS_FUNCTION = re.compile(r"fn(?<!\wfn)\s+(?P<name>(?:r#)?[^\W\d]\w*)\s*(?=[<(])")
 _RS_OWNER = re.compile(r"\b(?:impl\b|(?:trait|mod)\s+(?P<name>[A-Za-z_]\w*))")
 _PY_FUNCTION = re.compile(r"^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)[ \t]*(?:\[[^\]]*\])?[ \t]*(?=\()", re.M)
 _PY_OWNER = re.compile(r"^(?P<indent>[ \t]*)class[ \t]+(?P<name>[^\W\d]\w*)", re.M)
@@ -150,6 +151,9 @@ def _split_top(text: str, masked: str) -> list[tuple[str, str]]:
 _PARAMETER = re.compile(r"^\s*(?:(?:public|private|protected|readonly|override|mut|ref|@\w+(?:\([^)]*\))?)\s+)*(?P<name>\.{3}\w+|&?(?:'\w+\s+)?(?:mut\s+)?self\b|\*{0,2}[\w$]+|[\[{(].*?[\]})])(?P<opt>\?)?\s*(?::(?P<type>.*?))?(?:(?<![=<>!])=(?![=>])(?P<value>.*))?$", re.S)
 
 
+_SPACES, _UNTYPED, _RECEIVER = re.compile(r"\s+"), re.compile(r"\s+|&|'\w+\s*|\bmut\b|\b(?:\w+::)+"), re.compile(r"&?(?:'\w+ )?(?:mut )?self|cls|this")
+
+
 def _parameters(text: str, masked: str) -> list[dict]:
     out = []
     for piece, blank in _split_top(text, masked):
@@ -157,7 +161,7 @@ def _parameters(text: str, masked: str) -> list[dict]:
         if not m:
             continue
         part = lambda g: piece[m.start(g) : m.end(g)].strip() if m.group(g) is not None else None
-        name = re.sub(r"\s+", " ", part("name"))
+        name = _SPACES.sub(" ", part("name"))
         if name in ("/", "*"):
             continue
         kind, value = part("type"), part("value")
@@ -167,7 +171,7 @@ def _parameters(text: str, masked: str) -> list[dict]:
 
 def _signature(parameters: list[dict]) -> str:
     """The parameters' types without spaces, paths and lifetimes, the receiver apart; of untyped ones, their number."""
-    kinds = [re.sub(r"\s+|&|'\w+\s*|\bmut\b|\b(?:\w+::)+", "", p["param_type"] or "_") for p in parameters if not re.fullmatch(r"&?(?:'\w+ )?(?:mut )?self|cls|this", p["name"])]
+    kinds = [_UNTYPED.sub("", p["param_type"]) if p["param_type"] else "_" for p in parameters if not _RECEIVER.fullmatch(p["name"])]
     return f"{len(kinds)}({','.join(kinds)})"
 
 
@@ -187,7 +191,7 @@ class _File:
             comment = piece[0] == "#" if self.python else piece.startswith(("//", "/*"))
             if comment:
                 self.comments.append((a, z))
-            blank = " " * (z - a) if "\n" not in piece else re.sub(r"[^\n]", " ", piece)
+            blank = " " * (z - a) if "\n" not in piece else "\n".join([" " * len(x) for x in piece.split("\n")])
             pieces.append(blank if comment else '"' + blank[1:])
             last = z
         self.masked = "".join(pieces) + text[last:]

@@ -541,3 +541,12 @@ def test_scanning_takes_linear_time(text):
         began = time.perf_counter()
         docpairs.symbols(text, language)
         assert time.perf_counter() - began < 8
+
+
+@pytest.mark.parametrize("text", [" " * 60_000 + "a b\n", "a" * 60_000 + " b\n"], ids=["indented", "named"])
+def test_long_lines_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    assert [s.name for s in docpairs.symbols(text + "function run() {\n}\n", "typescript")] == ["run"]
+    assert time.perf_counter() - began < 2
